@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import encoding
+from quernstone.llm import bpe, encoding, packing, pieces
 from quernstone.sources.tables import table
 
 
@@ -18,9 +18,28 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored(table(spark, d, "shard", "row_id", "text"), "row_id", "text")
 
 
+def p3_rows(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed(table(spark, d, "shard", "row_id", "split", "text"), "row_id", "split", "text")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pieces(spark, d).where("piece_no = 0").select("row_id")
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.pieces(table(spark, d, "shard", "row_id", "text"), "row_id", "text")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encoded(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = (p1_found, p1_restored, p3_rows, p6_found, p6_pieces, p7_ids)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_restored)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p6_found": "SELECT row_id FROM shard WHERE length(text) > 10000"}
