@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import bpe, encoding, packing, pieces
+from quernstone.llm import bpe, encoding, leaks, packing, pieces
 from quernstone.sources.tables import table
 
 
@@ -34,7 +34,17 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = (p1_found, p1_restored, p3_rows, p6_found, p6_pieces, p7_ids)
+def p8_leaks(spark: SparkSession, d: str) -> DataFrame:
+    docs, items = table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items", "item_id", "text")
+    found = leaks.leaks(docs, "doc_id", "text", items, "item_id", "text")
+    return found.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_leaks(spark, d).where("n_words >= 13").select("doc_id", "item_id").distinct()
+
+
+QUERIES = (p1_found, p1_restored, p3_rows, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
