@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, encoding, leaks, packing, pieces
+from quernstone.llm import bpe, encoding, leaks, overlap, packing, pieces
+from quernstone.plans.durable import written
 from quernstone.sources.tables import table
 
 
@@ -22,6 +24,30 @@ def p3_rows(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "shard", "row_id", "split", "text"), "row_id", "split", "text")
 
 
+def _without_garbled(spark: SparkSession, d: str, pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """The pairs of which neither record is a case of problem 1."""
+    pairs = written(pairs)
+    ends = pairs.select(F.col(a).alias("row_id")).union(pairs.select(b)).distinct()
+    bad = written(encoding.garbled_ids(table(spark, d, "shard", "row_id", "text"), "row_id", "text", among=ends).distinct())
+    for c in (a, b):
+        pairs = pairs.join(bad.withColumnRenamed("row_id", c), c, "left_anti")
+    return pairs
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    shard = table(spark, d, "shard", "row_id", "split", "text")
+    return _without_garbled(spark, d, overlap.overlaps(shard, "row_id", "split", "text"), "held_id", "train_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _overlaps(spark, d)
+    return pairs.select(F.least("held_id", "train_id").alias("row_id_a"), F.greatest("held_id", "train_id").alias("row_id_b"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.report(_overlaps(spark, d), table(spark, d, "shard"), "row_id", "split", "source")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("piece_no = 0").select("row_id")
 
@@ -44,7 +70,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).where("n_words >= 13").select("doc_id", "item_id").distinct()
 
 
-QUERIES = (p1_found, p1_restored, p3_rows, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks)
+QUERIES = (p1_found, p1_restored, p3_rows, p4_found, p4_report, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
