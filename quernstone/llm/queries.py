@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, encoding, leaks, overlap, packing, pieces
+from quernstone.llm import bpe, encoding, leaks, neardup, overlap, packing, pieces
 from quernstone.plans.durable import written
 from quernstone.sources.tables import table
 
@@ -48,6 +48,18 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(_overlaps(spark, d), table(spark, d, "shard"), "row_id", "split", "source")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    shard = table(spark, d, "shard", "row_id", "text")
+    members, links = neardup.linked(shard, "row_id", "text", similarity=0.6, size=3, min_words=60)
+    pairs = neardup.all_pairs(members, links).toDF("row_id_a", "row_id_b")
+    return _without_garbled(spark, d, pairs, "row_id_a", "row_id_b")
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    members, links = neardup.linked(table(spark, d, "shard", "row_id", "text"), "row_id", "text")
+    return neardup.groups(members, links).withColumnRenamed("id", "row_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pieces(spark, d).where("piece_no = 0").select("row_id")
 
@@ -70,7 +82,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).where("n_words >= 13").select("doc_id", "item_id").distinct()
 
 
-QUERIES = (p1_found, p1_restored, p3_rows, p4_found, p4_report, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks)
+QUERIES = (p1_found, p1_restored, p3_rows, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
