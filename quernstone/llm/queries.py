@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, encoding, leaks, neardup, overlap, packing, pieces
+from quernstone.llm import bpe, encoding, leaks, neardup, overlap, packing, pieces, quality
 from quernstone.plans.durable import written
 from quernstone.sources.tables import table
 
@@ -20,6 +20,14 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.restored(table(spark, d, "shard", "row_id", "text"), "row_id", "text")
 
 
+def p2_types(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(table(spark, d, "shard", "row_id", "text"), "row_id", "text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_types(spark, d).where("text_type in ('list', 'table', 'junk')").select("row_id")
+
+
 def p3_rows(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "shard", "row_id", "split", "text"), "row_id", "split", "text")
 
@@ -82,7 +90,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).where("n_words >= 13").select("doc_id", "item_id").distinct()
 
 
-QUERIES = (p1_found, p1_restored, p3_rows, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks)
+QUERIES = (p1_found, p1_restored, p2_found, p2_types, p3_rows, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
