@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernstone.llm import bpe, encoding, leaks, neardup, overlap, packing, pieces, quality
+from quernstone.llm import bpe, encoding, leaks, neardup, overlap, packing, pieces, quality, residue
 from quernstone.plans.durable import written
 from quernstone.sources.tables import table
 
@@ -90,7 +90,15 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_leaks(spark, d).where("n_words >= 13").select("doc_id", "item_id").distinct()
 
 
-QUERIES = (p1_found, p1_restored, p2_found, p2_types, p3_rows, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks)
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("is_residue").select("doc_id")
+
+
+QUERIES = (p1_found, p1_restored, p2_found, p2_types, p3_rows, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks, p9_found, p9_scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
