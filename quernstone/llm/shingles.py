@@ -53,6 +53,11 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
+def short_key(key: bytes) -> int:
+    """The first seven bytes as a number: for candidates, which are told apart by the whole key later."""
+    return int.from_bytes(key[:7], "big")
+
+
 def at_least(share: float, n: int) -> int:
     """The least whole number that is ``share`` of ``n`` or more, without rounding errors."""
     f = Fraction(str(share))
