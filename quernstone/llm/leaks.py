@@ -1,11 +1,11 @@
 """Passages of evaluation items inside corpus documents.
 
-Texts are compared as words in lower case with one space between and around them, so a run
-of w words has at least 2w + 1 characters.  If a run of that many characters of an item stands
-in a document with at most ``edits`` edits, the two share at least ``2w + 2 - q - q * edits``
-q-grams (the q-gram lemma) whose offsets, document less item, differ by at most ``edits``.  So
-shared q-grams are counted in overlapping diagonal bands twice as wide; only regions that
-reach the bound and are wide enough for w words go on, to banded alignment.
+Texts are compared as words in lower case with one space between and around them.  Let the
+shortest run of w words in any item have c characters.  If a run of w words of an item stands
+in a document with at most e edits, the two share at least ``c + 1 - q - q * e`` q-grams (the
+q-gram lemma) whose offsets, document less item, differ by at most e.  So shared q-grams are
+counted in overlapping diagonal bands twice as wide; only regions that reach the bound and
+are wide enough for w words go on, to banded alignment.
 
 The items are the queries: they are indexed in blocks of bounded size, each of which is
 broadcast and held against the whole corpus.
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from quernstone.plans.durable import spread
 
 WORD = re.compile(r"[^\W_]+")
-Q = 12
+#: Least and greatest length of the q-grams; within them as long as the bound allows.
+SHORTEST, LONGEST = 4, 32
 #: Characters of item text in one broadcast block.
 BLOCK_CHARS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -63,9 +64,14 @@ def _codes(text: str) -> np.ndarray:
 class Index:
     """The q-grams of a block of items: sorted hashes with their items and positions."""
 
-    def __init__(self, items: list[tuple], q: int):
-        self.q, self.ids, self.texts = q, [i for i, _ in items], [normal(t) for _, t in items]
+    def __init__(self, items: list[tuple], words: int, edits: int):
+        self.ids, self.texts = [i for i, _ in items], [normal(t) for _, t in items]
         self.codes = [_codes(t) for t in self.texts]
+        gaps = [np.flatnonzero(c == 32) for c in self.codes]
+        runs = [int((g[words:] - g[:-words]).min()) + 1 for g in gaps if len(g) > words]
+        chars = min(runs, default=2 * words + 1)
+        self.q = q = max(SHORTEST, min(LONGEST, (chars + 1) // (edits + 2)))
+        self.least = max(1, chars + 1 - q - q * edits)
         hashes = [qgram_hashes(c, q) for c in self.codes]
         h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
@@ -125,7 +131,7 @@ def chained(runs: list[tuple[int, int, int]], edits: int, least: int) -> tuple[i
 
 
 def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str,
-          words: int = 13, edits: int = 1, q: int = Q, block_chars: int = BLOCK_CHARS) -> DataFrame:
+          words: int = 13, edits: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents with a passage of an item: ``doc``, ``item``, ``n_words``, ``n_chars``, ``n_edits``, ``share``.
 
     A pair comes out if a run of ``words`` words of the item stands in the document with at most
@@ -135,12 +141,6 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     have no passages.  Repeated
     rows come out each time; other columns don't matter.
     """
-    chars = 2 * words + 1
-    bound = chars - q + 1 - q * edits
-    while bound < 1 and q > 4:  # shorter q-grams where the lemma would promise none
-        q -= 1
-        bound = chars - q + 1 - q * edits
-    least = max(1, bound)
     spark = docs.sparkSession
     source = spread(docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).cast("string").alias("text")).where("text is not null"))
     asked = items.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
@@ -155,19 +155,19 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
             for batch in batches:
                 for lo in range(0, batch.num_rows, 500):
                     part = batch.slice(lo, 500)
-                    yield _search(ix, part.column(0), part.column(1).to_pylist(), edits, least, words)
+                    yield _search(ix, part.column(0), part.column(1).to_pylist(), edits, words)
 
         return source.mapInArrow(apply, schema)
 
     out = None
     for k in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        found = against(spark.sparkContext.broadcast(Index([tuple(r) for r in rows], q)))
+        found = against(spark.sparkContext.broadcast(Index([tuple(r) for r in rows], words, edits)))
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(ix: Index, ids: pa.Array, texts: list[str], edits: int, least: int, words: int) -> pa.RecordBatch:
+def _search(ix: Index, ids: pa.Array, texts: list[str], edits: int, words: int) -> pa.RecordBatch:
     chars = 2 * words + 1
     doc_at, item_at, words_at, chars_at, edits_at, share_at = [], [], [], [], [], []
     norm = [normal(t) for t in texts]
@@ -193,7 +193,7 @@ def _search(ix: Index, ids: pa.Array, texts: list[str], edits: int, least: int,
             # an edit near an end hides up to q q-grams, so the passage may be so much longer
             base, slack = starts[key[new, 0]], ix.q * edits + edits
             lo, hi = np.maximum(a[new] - slack, 0), np.minimum(a[end - 1] + ix.q + slack, longest[key[new, 0]])
-            keep = (end - new >= least) & (spaces[base + hi] - spaces[base + lo] >= words + 1 - edits)
+            keep = (end - new >= ix.least) & (spaces[base + hi] - spaces[base + lo] >= words + 1 - edits)
             cells += [(int(key[b, 0]), int(key[b, 1]), int(a[b]), int(a[e - 1]), int(s[b:e].min()), int(s[b:e].max())) for b, e in zip(new[keep], end[keep])]
         best: dict[tuple[int, int], list] = {}
         parts: dict[int, np.ndarray] = {}
