@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quernstone.plans import ledger_queries
+from quernstone.plans import corpus_queries, ledger_queries, model_queries, telemetry_queries
 
-PARTS = (ledger_queries,)
+PARTS = (corpus_queries, ledger_queries, telemetry_queries, model_queries)
 
 
 def queries() -> dict:
