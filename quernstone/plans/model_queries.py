@@ -116,7 +116,7 @@ def oracle_sql() -> dict[str, str]:
     pair = "(SELECT e.*, v.v[CAST(CASE WHEN i < v.n // 2 THEN i + v.n // 2 ELSE i - v.n // 2 END AS BIGINT) + 1] AS z FROM e JOIN v USING (vec_id))"
     return {
         "model_config": LAYERS + "SELECT depth, CAST(n_embd AS INTEGER) AS n_embd, n_head FROM conf",
-        "model_windows": LAYERS + "SELECT depth, layer, "window", has_ve FROM lay",
+        "model_windows": LAYERS + 'SELECT depth, layer, "window", has_ve FROM lay',
         "model_params": LAYERS + "SELECT * FROM par UNION ALL SELECT depth, 'total', CAST(sum(n_params) AS BIGINT) FROM par GROUP BY depth",
         "model_shapes": LAYERS + """SELECT depth, CAST(r AS INTEGER) AS n_rows, CAST(c AS INTEGER) AS n_cols, count(*) AS n_matrices FROM (
             SELECT depth, n_embd * unnest([1, 1, 1, 1, 4, 1]) AS r, n_embd * unnest([1, 1, 1, 1, 1, 4]) AS c FROM lay UNION ALL SELECT depth, n_head, 32 FROM lay WHERE has_ve) GROUP BY ALL""",
