@@ -38,6 +38,8 @@ def normal(text: str) -> str:
 
 def qgram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of the q characters from each position on, by doubling."""
+    if len(codes) < q:
+        return np.zeros(0, np.uint64)
     done, h = 0, np.zeros(len(codes), np.uint64)
     block, size, power = codes.astype(np.uint64) + np.uint64(1), 1, _BASE
     with np.errstate(over="ignore"):

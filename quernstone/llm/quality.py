@@ -71,7 +71,7 @@ def text_types(df: DataFrame, id_col: str, text: str) -> DataFrame:
             for part, texts in _slices(batch):
                 b = Batch(texts)
                 sums = b.per_text
-                words, solid, lines = sums(b.words), np.maximum(1, sums(b.solid)), np.maximum(1, sums(b.lines))
+                words, solid, lines = sums(b.words), np.maximum(1, sums(b.solid)), np.maximum(1, sums(b.line_ends[0]))
                 v = b.votes(w, k)
                 common = np.bincount(b.word_doc, (k[b.word_slot] > 0) & (w[b.word_slot] > 0.5), b.n_texts)
                 # of a unit that isn't prose: many separators make a table, short parts a list
@@ -87,7 +87,7 @@ def text_types(df: DataFrame, id_col: str, text: str) -> DataFrame:
                         "n_words": pa.array(words.astype(np.int64)),
                         "mean_word_length": real(sums(b.letters) / np.maximum(1, words)),
                         "symbol_ratio": real(sums(b.symbols * b.solid) / solid),
-                        "ended_lines": real(sums(b.ended * b.lines) / lines),
+                        "ended_lines": real(sums(b.line_ends[1]) / lines),
                         "common_words": real(common / np.maximum(1, words)),
                         "look": pa.array(np.where(blank, -1, cells.argmax(axis=1)).astype(np.int32)),
                         "patterns": pa.ListArray.from_arrays(pa.array(split), pa.array(pattern(v))),

@@ -116,8 +116,9 @@ class Batch:
         stops = [33, 46, 63]
         ended = filled & (np.isin(final, stops) | wide_stop | quote & (np.isin(behind, stops) | (final == 0xA6)))
         line_unit = unit_of[line_starts]
-        self.lines = np.maximum(1, np.bincount(line_unit, filled, n))
-        self.ended = np.bincount(line_unit, ended, n) / self.lines
+        self.line_ends = np.bincount(line_unit, filled, n), np.bincount(line_unit, ended, n)  # by where lines begin
+        self.lines = np.maximum(1, self.line_ends[0])
+        self.ended = self.line_ends[1] / self.lines
         inside = np.isin(b, stops) & np.concatenate([space[1:], [True]]) | wide & (np.concatenate([b[1:], [0]]) == 0x80) & (np.concatenate([b[2:], [0, 0]]) == 0x82)
         self.stops = _sums(inside, starts)
         self.separators = separators / np.maximum(4, self.spoken + self.lines)
@@ -214,6 +215,8 @@ def expectation_maximization(counts: dict[int, int], rounds: int = 300) -> tuple
     Votes are taken as independent given the class; each voter has its own chances of each
     vote in either class.  It starts from the majority.
     """
+    if not counts:
+        return {}, np.full((2, len(VOTERS), 3), 1 / 3), 0.5
     keys = sorted(counts)
     n = np.array([counts[k] for k in keys], float)
     v = np.array([unpattern(k) for k in keys]).reshape(-1, len(VOTERS)) + 1
