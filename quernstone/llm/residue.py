@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.residue_core import SLOT, Model, features, fit, passages, trusted
+from quernstone.llm.residue_core import SLOT, Model, features, fit, passages, trusted, weighty
 from quernstone.plans.durable import spread
 
 MAX_TRUSTED = 5_000
@@ -65,7 +65,7 @@ def residue(df: DataFrame, id_col: str, text: str, max_trusted: int = MAX_TRUSTE
             scores, worst = [], []
             for t in b.column(1).to_pylist():
                 best, at = None, None
-                for p in dict.fromkeys(passages(t)) if t else ():
+                for p in weighty(list(dict.fromkeys(passages(t)))) if t else ():
                     f = features(p)
                     if len(f) and (best is None or (s := m.score(f)) > best):
                         best, at = (m.score(f), p) if best is None else (s, p)

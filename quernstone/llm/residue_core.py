@@ -30,7 +30,7 @@ TRUSTED = re.compile(
     r"|^(?:error|status) [45]\d\d\b|^not found \(?404|^access denied|^rate limit exceeded|went wrong while loading|^page (?:not found|introuvable)|^seite nicht gefunden|^página no encontrada"
     r"|^(?:database )?connection failed|\b(?:down|closed) for maintenance\b|^this page isn['’]t available|\blink you followed may be broken"
     # notices that scripts are required
-    r"|\b(?:enable|activate|allow|turn on|switch on|activer|aktivier\w*|activ[ae]r?|attiva\w*|ative|włącz\w*)\b.{0,20}\b(?:javascript|scripts?|js)\b"
+    r"|\b(?:enable|activate|allow|turn on|switch on|activer|aktivier\w*|activ[ae]r?|attiva\w*|ative|włącz\w*)\b.{0,20}\b(?:javascript|js)\b|\ballow scripts\b|\brequires scripts\b"
     r"|\bjavascript\b.{0,20}\b(?:disabled|required|off|disattivato|deaktiviert|désactivé|desactivado|desativado|enabled)\b|\b(?:js off|turn js on|switch on js)\b|^noscript\b"
     r"|\byour browser (?:blocks|does not support|has disabled)\b|^checking your browser|\b(?:browser|works) (?:with|only with) (?:active )?scripting\b"
     # filler and what is still to be written
@@ -114,6 +114,12 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], rounds: int =
     return Model(odds.astype(np.float32), prior)
 
 
+def weighty(passages: list[str]) -> list[str]:
+    """Those that may decide on a record: of one or two words only where there are no longer ones."""
+    long = [p for p in passages if SLOT.fullmatch(p) or len(WORD.findall(p)) > 2]
+    return long or passages
+
+
 def trusted(text: str) -> bool:
     """Whether the whole record is residue beyond doubt."""
     own = own_text(text).strip()
