@@ -34,7 +34,7 @@ TRUSTED = re.compile(
     r"|\bjavascript\b.{0,20}\b(?:disabled|required|off|disattivato|deaktiviert|désactivé|desactivado|desativado|enabled)\b|\b(?:js off|turn js on|switch on js)\b|^noscript\b"
     r"|\byour browser (?:blocks|does not support|has disabled)\b|^checking your browser|\b(?:browser|works) (?:with|only with) (?:active )?scripting\b"
     # filler and what is still to be written
-    r"|^lorem ipsum|^\s*[\[(]?(?:draft\b.{0,4})?(?:no text yet|to be (?:filled in|written|added|done))\b|\bto be added\.?$|^\s*(?:todo|tbd)(?:[:.]|$)|\bis coming soon\b|^this is a (?:dummy|sample|placeholder)\b"
+    r"|^lorem ipsum|^\s*[\[(]?(?:draft\b.{0,4})?(?:no text yet|to be (?:filled in|written|added|done))\b|\bto be added\.?$|^\s*(?:todo|tbd)(?:[:.]|$)|^(?:write|type|enter|describe)\b.{0,60}\b(?:here|in this (?:box|field|space))\b|\bis coming soon\b|^this is a (?:dummy|sample|placeholder)\b"
     r"|^title of the \w+$|\b(?:your \w+|text goes|content|copy goes) here\.|^([^.\n]{4,40}\.)(?: \1){2,}|^(?:(?:asdf|foo|bar|baz|bla|blah|test|xxx)\b ?){4}"
 )
 
@@ -115,8 +115,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], rounds: int =
 
 
 def weighty(passages: list[str]) -> list[str]:
-    """Those that may decide on a record: of one or two words only where there are no longer ones."""
-    long = [p for p in passages if SLOT.fullmatch(p) or len(WORD.findall(p)) > 2]
+    """Those that may decide on a record: of one or two words only what is trusted, or where there are no longer ones."""
+    long = [p for p in passages if SLOT.fullmatch(p) or len(WORD.findall(p)) > 2 or trusted(p)]
     return long or passages
 
 
