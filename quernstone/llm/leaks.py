@@ -180,6 +180,10 @@ def _search(ix: Index, ids: pa.Array, texts: list[str], edits: int, words: int)
         doc = np.searchsorted(starts, at, "right") - 1
         inside = at + ix.q <= starts[doc] + np.array([len(t) for t in norm])[doc]
         doc, item, at, pos = doc[inside], item[inside], (at - starts[doc])[inside], pos[inside]
+        if len(texts) * len(ix.ids) <= 5_000_000:  # pairs with too few hits in all have too few in each band
+            pair = doc * len(ix.ids) + item
+            often = np.bincount(pair)[pair] >= ix.least
+            doc, item, at, pos = doc[often], item[often], at[often], pos[often]
         width = max(1, edits)
         spaces = np.concatenate([[0], np.cumsum(codes == 32)])
         longest = np.array([len(t) for t in norm])
@@ -187,16 +191,17 @@ def _search(ix: Index, ids: pa.Array, texts: list[str], edits: int, words: int)
         cells = []
         for half in range(2 if edits else 1):  # bands of twice the width overlap by half
             band = (shift + half * width) // (2 * width) if edits else shift
-            key = np.stack([doc, item, band, np.full(len(band), half)], 1)
-            order = np.lexsort((at, key[:, 2], key[:, 1], key[:, 0]))
+            key = (doc << 52) | (item << 30) | (band + (1 << 29))  # 500 texts, fewer than 2**22 items
+            order = np.argsort(key, kind="stable")  # hits are in order of their place
             key, a, s = key[order], at[order], shift[order]
-            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1) | (np.diff(a) > 4 * chars)]))
-            end = np.append(new[1:], len(key))
+            new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (np.diff(a) > 4 * chars)])) if len(key) else np.zeros(0, np.int64)
+            end = np.append(new[1:], len(key)).astype(np.int64) if len(new) else new
             # an edit near an end hides up to q q-grams, so the passage may be so much longer
-            base, slack = starts[key[new, 0]], ix.q * edits + edits
-            lo, hi = np.maximum(a[new] - slack, 0), np.minimum(a[end - 1] + ix.q + slack, longest[key[new, 0]])
+            where = key[new] >> 52
+            base, slack = starts[where], ix.q * edits + edits
+            lo, hi = np.maximum(a[new] - slack, 0), np.minimum(a[end - 1] + ix.q + slack, longest[where])
             keep = (end - new >= ix.least) & (spaces[base + hi] - spaces[base + lo] >= words + 1 - edits)
-            cells += [(int(key[b, 0]), int(key[b, 1]), int(a[b]), int(a[e - 1]), int(s[b:e].min()), int(s[b:e].max())) for b, e in zip(new[keep], end[keep])]
+            cells += [(int(key[b] >> 52), int(key[b] >> 30 & (1 << 22) - 1), int(a[b]), int(a[e - 1]), int(s[b:e].min()), int(s[b:e].max())) for b, e in zip(new[keep], end[keep])]
         best: dict[tuple[int, int], list] = {}
         parts: dict[int, np.ndarray] = {}
         seen = set()

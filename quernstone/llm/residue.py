@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.residue_core import SLOT, Model, features, fit, passages, trusted, weighty
+from quernstone.llm.residue_core import DIGITS, SLOT, Model, features, fit, passages, trusted, weighty
 from quernstone.plans.durable import spread
 
 MAX_TRUSTED = 5_000
@@ -41,12 +41,17 @@ def learn(rows: DataFrame, max_trusted: int = MAX_TRUSTED, max_unlabelled: int =
     sure = [r["text"] for r in known.orderBy("h", "text").limit(max_trusted).collect()]
     open_ = [r["text"] for r in keyed.orderBy("h", "text").limit(max_unlabelled).collect()]
     slot = features(SAMPLE_SLOT)
-    positive, unlabelled = [slot] * 20, []
+    positive, unlabelled, forms = [slot] * 20, [], {}
     for t in sure:
         positive += [f for p in passages(t) if len(f := features(p))]
     for t in open_:
         if not trusted(t):
-            unlabelled += [f for p in passages(t) if len(f := features(p)) and not SLOT.fullmatch(p)]
+            for p in passages(t):
+                form = DIGITS.sub("0", p)  # numbers are all alike
+                if form not in forms:
+                    forms[form] = np.zeros(0, np.int32) if SLOT.fullmatch(p) else features(form)
+                if len(forms[form]):
+                    unlabelled.append(forms[form])
     return fit(positive, unlabelled)
 
 
@@ -66,9 +71,9 @@ def residue(df: DataFrame, id_col: str, text: str, max_trusted: int = MAX_TRUSTE
             for t in b.column(1).to_pylist():
                 best, at = None, None
                 for p in weighty(list(dict.fromkeys(passages(t)))) if t else ():
-                    f = features(p)
-                    if len(f) and (best is None or (s := m.score(f)) > best):
-                        best, at = (m.score(f), p) if best is None else (s, p)
+                    s = m.of(p)
+                    if s is not None and (best is None or s > best):
+                        best, at = s, p
                 scores.append(best)
                 worst.append(at)
             flags = np.array([s is not None and s > 0 for s in scores], bool)

@@ -20,6 +20,8 @@ SLOT = re.compile(
     rf"|__{_UPPER}__|\[\[{_NAME}\]\]|«{_NAME}»|(?<![\w$#%{{]){{{_NAME}}}(?!}})|<{_UPPER}>|<(?i:insert|your|enter) {_NAME}>|\[(?i:insert|your|enter|add) [^\]\n]{{1,40}}\]|\((?i:tbd|tbc|todo)\b[^)\n]{{0,40}}\)"
 )
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?|\d+|[|©]")
+LINES = re.compile(r"[\n\r]+")
+DIGITS = re.compile(r"\d+")
 SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 LONG_LINE = 240
 #: A record no longer than this that matches one of these is trusted to be nothing but residue.
@@ -39,15 +41,22 @@ TRUSTED = re.compile(
 )
 
 
+#: Without one of these there is no place to be filled in.
+HINT = re.compile(r"\{\{|[$#]\{|\{%|<%|%\(|%[A-Z]|\$[A-Z]|@@|__|\[\[|«|\{[A-Za-z]|<[A-Za-z]|\[(?i:ins|you|ent|add)|\((?i:tb|todo)")
+
+
 def own_text(text: str) -> str:
-    return QUOTED.sub(" ", text)
+    return QUOTED.sub(" ", text) if any(c in text for c in "`\"“‘") else text
 
 
 def passages(text: str) -> list[str]:
     """Lines, longer ones by sentence, and apart from them each place to be filled in."""
     own = own_text(text)
-    out = [m[0] for m in SLOT.finditer(own)]
-    for line in re.split(r"[\n\r]+", SLOT.sub(" ", own)):
+    out = []
+    if HINT.search(own):
+        out = [m[0] for m in SLOT.finditer(own)]
+        own = SLOT.sub(" ", own)
+    for line in LINES.split(own):
         line = line.strip()
         if line:
             out += [line] if len(line) <= LONG_LINE else [s for s in SENTENCE.split(line) if s.strip()]
@@ -56,7 +65,7 @@ def passages(text: str) -> list[str]:
 
 def features(passage: str) -> np.ndarray:
     """Hashed words, neighbouring words, letter triples of words and marks of form."""
-    p = SLOT.sub(" qslotq ", passage)
+    p = SLOT.sub(" qslotq ", passage) if HINT.search(passage) else passage
     words = ["0" if w.isdigit() else w for w in WORD.findall(p.lower())]
     if not words:
         return np.zeros(0, np.int32)
@@ -76,7 +85,17 @@ class Model:
     """Log odds of features; ``score`` is the log odds of residue for a passage."""
 
     def __init__(self, odds: np.ndarray, prior: float):
-        self.odds, self.prior = odds, prior
+        self.odds, self.prior, self.known = odds, prior, {}
+
+    def of(self, passage: str) -> float | None:
+        """The score of a passage, None if it has no words; numbers are all alike, so it is kept by its form."""
+        form = DIGITS.sub("0", passage)
+        if form not in self.known:
+            if len(self.known) >= 300_000:
+                self.known.clear()
+            f = features(form)
+            self.known[form] = self.score(f) if len(f) else None
+        return self.known[form]
 
     def score(self, f: np.ndarray) -> float:
         return float(self.odds[f].sum()) * min(1.0, 14 / max(1, len(f))) ** 0.5 + self.prior if len(f) else -9.0
