@@ -9,25 +9,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def best_fit(lengths: Iterable[tuple], row_tokens: int, buffer_size: int, batch: int = 128) -> Iterator[list[tuple]]:
-    """Rows of exactly ``row_tokens`` as lists of (key, taken, whole length).
+#: Documents of a batch; batches don't go beyond a pack group.
+BATCH = 128
+
+
+def best_fit(batches: Iterable[list[tuple]], row_tokens: int, buffer_size: int) -> Iterator[list[tuple]]:
+    """Rows of exactly ``row_tokens`` as lists of (key, taken, whole length); ``batches`` hold (key, length).
 
     Before each placement the buffer is filled to ``buffer_size`` by whole batches.  The longest
     sequence that fits is placed, of equals the earliest; if none fits, the shortest one is
     cut to the room left and its tail is lost.  It ends when the buffer can't be filled and
     is empty; an unfinished row is dropped.
     """
-    source, buffer, ended = iter(lengths), [], False
+    source, buffer, ended = iter(batches), [], False
     while True:
         row, room = [], row_tokens
         while room:
             while len(buffer) < buffer_size and not ended:
-                for _ in range(batch):
-                    item = next(source, None)
-                    if item is None:
-                        ended = True
-                        break
-                    buffer.append(item)
+                batch = next(source, None)
+                ended = batch is None
+                buffer += batch or []
             if not buffer:
                 return
             best = -1
@@ -42,8 +43,11 @@ def best_fit(lengths: Iterable[tuple], row_tokens: int, buffer_size: int, batch:
         yield row
 
 
-def pack_rows(docs: DataFrame, row_tokens: int = 2049, buffer_size: int = 1000) -> DataFrame:
-    """Rows packed within each pack group: ``pack_group``, ``row_idx``, ``slot``, ``doc``, ``n_taken``, ``n_tokens``.
+def pack_rows(docs: DataFrame, row_tokens: int = 2049, buffer_size: int = 1000, epochs: int = 1) -> DataFrame:
+    """Rows packed within each pack group: ``pack_group``, ``row_idx``, ``epoch``, ``slot``, ``doc``, ``n_taken``, ``n_tokens``.
+
+    The documents are read ``epochs`` times in a row; ``epoch`` is that of the last document read
+    into the buffer when the row was done, not that of the row's own documents.
 
     ``docs`` has ``pack_group``, ``pos``, ``doc`` and ``n_tokens`` (the start token counted).  A group, a
     shard or a row group, is of bounded size and packed in one task; other groups don't matter
@@ -53,15 +57,23 @@ def pack_rows(docs: DataFrame, row_tokens: int = 2049, buffer_size: int = 1000)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
-        pairs = zip(pdf["doc"], pdf["n_tokens"])
+        read = [0]
+
+        def source() -> Iterator[list[tuple]]:
+            pairs = list(zip(pdf["doc"], pdf["n_tokens"]))
+            for e in range(1, epochs + 1):
+                for k in range(0, len(pairs), BATCH):
+                    read[0] = e
+                    yield pairs[k : k + BATCH]
+
         out = [
-            (pdf["pack_group"].iloc[0], r, s, key, took, whole)
-            for r, row in enumerate(best_fit(pairs, row_tokens, min(buffer_size, len(pdf))))
+            (pdf["pack_group"].iloc[0], r, epoch, s, key, took, whole)
+            for r, (epoch, row) in enumerate((read[0], row) for row in best_fit(source(), row_tokens, min(buffer_size, len(pdf))))
             for s, (key, took, whole) in enumerate(row)
         ]
-        return pd.DataFrame(out, columns=["pack_group", "row_idx", "slot", "doc", "n_taken", "n_tokens"])
+        return pd.DataFrame(out, columns=["pack_group", "row_idx", "epoch", "slot", "doc", "n_taken", "n_tokens"])
 
-    schema = f"pack_group {kinds['pack_group']}, row_idx int, slot int, doc {kinds['doc']}, n_taken int, n_tokens int"
+    schema = f"pack_group {kinds['pack_group']}, row_idx int, epoch int, slot int, doc {kinds['doc']}, n_taken int, n_tokens int"
     return docs.select("pack_group", "pos", "doc", "n_tokens").groupBy("pack_group").applyInPandas(pack, schema)
 
 

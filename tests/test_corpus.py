@@ -80,7 +80,8 @@ def test_tokenizer_tables_are_kept(spark, tmp_path):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 40), max_size=80), st.integers(1, 30), st.integers(1, 12))
 def test_best_fit_contract(sizes, row, buffer):
-    rows = list(packing.best_fit(enumerate(sizes), row, buffer, batch=3))
+    items = list(enumerate(sizes))
+    rows = list(packing.best_fit([items[k : k + 3] for k in range(0, len(items), 3)], row, buffer))
     seen = [k for r in rows for k, _, _ in r]
     assert len(seen) == len(set(seen))
     for r in rows:
@@ -89,8 +90,15 @@ def test_best_fit_contract(sizes, row, buffer):
 
 
 def test_best_fit_ties_and_crops():
-    assert list(packing.best_fit([("a", 3), ("b", 5), ("c", 5), ("d", 2)], 8, 4))[0] == [("b", 5, 5), ("a", 3, 3)]
-    assert list(packing.best_fit([("a", 9), ("b", 9)], 4, 2)) == [[("a", 4, 9)], [("b", 4, 9)]]
+    assert list(packing.best_fit([[("a", 3), ("b", 5), ("c", 5), ("d", 2)]], 8, 4))[0] == [("b", 5, 5), ("a", 3, 3)]
+    assert list(packing.best_fit([[("a", 9), ("b", 9)]], 4, 2)) == [[("a", 4, 9)], [("b", 4, 9)]]
+
+
+def test_packed_rows_tell_the_epoch_of_the_last_refill(spark):
+    docs = spark.createDataFrame([("g", i, f"d{i}", 5) for i in range(4)], "pack_group string, pos int, doc string, n_tokens int")
+    rows = packing.pack_rows(docs, row_tokens=10, buffer_size=2, epochs=2).collect()
+    assert sorted({(r.row_idx, r.epoch) for r in rows}) == [(0, 1), (1, 2), (2, 2), (3, 2)]
+    assert all(n == 2 for n in __import__("collections").Counter(r.doc for r in rows).values())
 
 
 def test_shift_and_eval_rows(spark):
