@@ -63,40 +63,81 @@ def passages(text: str) -> list[str]:
     return out
 
 
+def _hashed(feature: str, triple: bool = False) -> int:
+    return (crc32(feature.encode("utf-8", "replace")) >> (32 - FEATURE_BITS)) + (triple << FEATURE_BITS)
+
+
+def _words(passage: str) -> list[str]:
+    p = SLOT.sub(" qslotq ", passage) if HINT.search(passage) else passage
+    return ["0" if w.isdigit() else w for w in WORD.findall(p.lower())]
+
+
+def _word_features(w: str) -> list[int]:
+    """A word and its letter triples."""
+    out = [_hashed("w" + w)]
+    if len(w) > 4 and w != "qslotq" and not w.isdigit():
+        x = f"<{w}>"
+        out += [_hashed("t" + x[k : k + 3], True) for k in range(0, len(x) - 2, 2)]
+    return out
+
+
+def _marks(words: list[str]) -> list[int]:
+    same = len(words) >= 4 and len(set(words)) * 3 <= len(words)
+    return [_hashed("m same")] * 3 * same + [_hashed("m slot")] * 4 * ("qslotq" in words)
+
+
 def features(passage: str) -> np.ndarray:
     """Hashed words, neighbouring words, letter triples of words and marks of form."""
-    p = SLOT.sub(" qslotq ", passage) if HINT.search(passage) else passage
-    words = ["0" if w.isdigit() else w for w in WORD.findall(p.lower())]
+    words = _words(passage)
     if not words:
         return np.zeros(0, np.int32)
-    out = [("w" + w) for w in words] + [f"b{a} {b}" for a, b in zip(["^", *words], [*words, "$"])]
-    for w in words:
-        if len(w) > 4 and w != "qslotq" and not w.isdigit():
-            x = f"<{w}>"
-            out += ["t" + x[k : k + 3] for k in range(0, len(x) - 2, 2)]
-    if len(words) >= 4 and len(set(words)) * 3 <= len(words):
-        out += ["m same", "m same", "m same"]
-    if "qslotq" in words:
-        out += ["m slot"] * 4
-    return np.array([(crc32(f.encode("utf-8", "replace")) >> (32 - FEATURE_BITS)) + (f[0] == "t" and 1 << FEATURE_BITS) for f in out], np.int32)
+    out = [f for w in words for f in _word_features(w)]
+    out += [_hashed(f"b{a} {b}") for a, b in zip(["^", *words], [*words, "$"])]
+    return np.array(out + _marks(words), np.int32)
 
 
 class Model:
     """Log odds of features; ``score`` is the log odds of residue for a passage."""
 
     def __init__(self, odds: np.ndarray, prior: float):
-        self.odds, self.prior, self.known = odds, prior, {}
+        self.odds, self.prior = odds, prior
+        self.known: dict[str, float | None] = {}
+        self.by_word: dict[str, tuple[float, int]] = {}
+        self.by_pair: dict[tuple[str, str], float] = {}
 
     def of(self, passage: str) -> float | None:
-        """The score of a passage, None if it has no words; numbers are all alike, so it is kept by its form."""
+        """The score of a passage, None if it has no words; numbers are all alike, so it is kept by its form.
+
+        It is ``score`` of its features, put together from what its words and pairs add.
+        """
         form = DIGITS.sub("0", passage)
         if form not in self.known:
-            if len(self.known) >= 300_000:
-                self.known.clear()
-            f = features(form)
-            self.known[form] = self.score(f) if len(f) else None
+            for kept in (self.known, self.by_word, self.by_pair):
+                if len(kept) >= 300_000:
+                    kept.clear()
+            self.known[form] = self._of(form)
         return self.known[form]
 
+    def _of(self, form: str) -> float | None:
+        words = _words(form)
+        if not words:
+            return None
+        marks = _marks(words)
+        total, n = sum(float(self.odds[m]) for m in marks), len(marks) + len(words) + 1
+        for w in words:
+            own = self.by_word.get(w)
+            if own is None:
+                f = _word_features(w)
+                own = self.by_word[w] = (float(self.odds[f].sum()), len(f))
+            total += own[0]
+            n += own[1]
+        for pair in zip(["^", *words], [*words, "$"]):
+            odds = self.by_pair.get(pair)
+            if odds is None:
+                odds = self.by_pair[pair] = float(self.odds[_hashed(f"b{pair[0]} {pair[1]}")])
+            total += odds
+        return total * min(1.0, 14 / n) ** 0.5 + self.prior
+
     def score(self, f: np.ndarray) -> float:
         return float(self.odds[f].sum()) * min(1.0, 14 / max(1, len(f))) ** 0.5 + self.prior if len(f) else -9.0
 
