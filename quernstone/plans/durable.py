@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[int, str] = {}
+_STEPS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written once and read again: its lineage ends here."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
+    _STEPS.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_steps(spark: SparkSession) -> int:
+    """Deletes the tables written so far, once no result that reads them is needed; how many there were."""
+    jvm, conf, n = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf(), len(_STEPS)
+    while _STEPS:
+        path = jvm.org.apache.hadoop.fs.Path(_STEPS.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as the cluster runs at once.
 
