@@ -132,6 +132,18 @@ def chained(runs: list[tuple[int, int, int]], edits: int, least: int) -> tuple[i
     return best
 
 
+def slices(texts: list[str], most: int = 500, chars: int = 3_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``most`` texts and about ``chars`` characters, or one longer text."""
+    lo, size = 0, 0
+    for k, t in enumerate(texts):
+        if k > lo and (k - lo == most or size + len(t) > chars):
+            yield lo, k
+            lo, size = k, 0
+        size += len(t)
+    if texts:
+        yield lo, len(texts)
+
+
 def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str,
           words: int = 13, edits: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Documents with a passage of an item: ``doc``, ``item``, ``n_words``, ``n_chars``, ``n_edits``, ``share``.
@@ -155,9 +167,9 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix = index.value
             for batch in batches:
-                for lo in range(0, batch.num_rows, 500):
-                    part = batch.slice(lo, 500)
-                    yield _search(ix, part.column(0), part.column(1).to_pylist(), edits, words)
+                texts = batch.column(1).to_pylist()
+                for lo, hi in slices(texts):
+                    yield _search(ix, batch.column(0).slice(lo, hi - lo), texts[lo:hi], edits, words)
 
         return source.mapInArrow(apply, schema)
 

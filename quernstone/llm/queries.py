@@ -106,4 +106,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": "SELECT row_id FROM shard WHERE length(text) > 10000"}
+    runs = """SELECT DISTINCT {id}, array_to_string(w[i : i + 12], ' ') AS run FROM (
+        SELECT {id}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}))"""
+    docs, items = runs.format(id="doc_id", table="documents"), runs.format(id="item_id", table="eval_items")
+    return {
+        "p6_found": "SELECT row_id FROM shard WHERE length(text) > 10000",
+        "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({docs}) JOIN ({items}) USING (run)",
+    }

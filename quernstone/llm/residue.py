@@ -7,7 +7,8 @@ things that error pages and filler say.  Then every passage of every record is s
 a record is residue if one of its passages is.  Quotations and code are not looked at.
 
 The model is fitted on a bounded sample: ``MAX_TRUSTED`` trusted and ``MAX_UNLABELLED``
-unlabelled records, those with the least hashes of their ids.  All records are scored.
+unlabelled records, those with the least hashes of their ids among those of at most
+``SAMPLE_CHARS`` characters.  All records are scored, and wholly.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from quernstone.plans.durable import spread
 
 MAX_TRUSTED = 5_000
 MAX_UNLABELLED = 10_000
+#: Only texts up to this length are taken as unlabelled ones, so that the sample is bounded.
+SAMPLE_CHARS = 20_000
 #: Only texts up to this length, with quotations, are tried as trusted records.
 TRY_CHARS = 1_000
 SAMPLE_SLOT = "{{ summary }}"
@@ -39,7 +42,7 @@ def learn(rows: DataFrame, max_trusted: int = MAX_TRUSTED, max_unlabelled: int =
     keyed = rows.select(F.xxhash64("id").alias("h"), "text").where("text is not null")
     known = keyed.where(F.length("text") <= TRY_CHARS).mapInArrow(_trusted_rows, "h long, text string")
     sure = [r["text"] for r in known.orderBy("h", "text").limit(max_trusted).collect()]
-    open_ = [r["text"] for r in keyed.orderBy("h", "text").limit(max_unlabelled).collect()]
+    open_ = [r["text"] for r in keyed.where(F.length("text") <= SAMPLE_CHARS).orderBy("h", "text").limit(max_unlabelled).collect()]
     slot = features(SAMPLE_SLOT)
     positive, unlabelled, forms = [slot] * 20, [], {}
     for t in sure:
