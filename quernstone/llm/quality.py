@@ -36,14 +36,41 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]
             at, size = k + 1, 0
 
 
+def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """Texts, those longer than ``BATCH_CHARS`` cut at a line or blank, in groups of about that size.
+
+    With each group the numbers of the texts that its pieces are of, in order.
+    """
+    owners, pieces, size = [], [], 0
+    for k, t in enumerate(texts):
+        at = 0
+        while True:
+            end = len(t)
+            if end - at > BATCH_CHARS:
+                cut = max(t.rfind("\n", at + 1, at + BATCH_CHARS), t.rfind(" ", at + BATCH_CHARS // 2, at + BATCH_CHARS))
+                end = cut + 1 if cut > at else at + BATCH_CHARS
+            if pieces and size + end - at > BATCH_CHARS:
+                yield np.array(owners), pieces
+                owners, pieces, size = [], [], 0
+            owners.append(k)
+            pieces.append(t[at:end])
+            size += end - at
+            if end == len(t):
+                break
+            at = end
+    if pieces:
+        yield np.array(owners), pieces
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros((2, 1 << WORD_BITS), np.uint32)
     for batch in batches:
         for _, texts in _slices(batch):
-            b = Batch(texts)
-            guess = b.seeds()[b.word_unit]
-            for row, kind in enumerate((PROSE, LISTED)):
-                counts[row] += np.bincount(b.word_slot[guess == kind], minlength=1 << WORD_BITS).astype(np.uint32)
+            for _, pieces in _pieces(texts):
+                b = Batch(pieces)
+                guess = b.seeds()[b.word_unit]
+                for row, kind in enumerate((PROSE, LISTED)):
+                    counts[row] += np.bincount(b.word_slot[guess == kind], minlength=1 << WORD_BITS).astype(np.uint32)
     parts = list(chunks(counts.reshape(-1)))
     yield pa.record_batch({"chunk": pa.array([k for k, _ in parts], pa.int32()), "data": pa.array([d for _, d in parts], pa.binary())})
 
@@ -69,29 +96,37 @@ def text_types(df: DataFrame, id_col: str, text: str) -> DataFrame:
         w, k = learned.value
         for batch in batches:
             for part, texts in _slices(batch):
-                b = Batch(texts)
-                sums = b.per_text
-                words, solid, lines = sums(b.words), np.maximum(1, sums(b.solid)), np.maximum(1, sums(b.line_ends[0]))
-                v = b.votes(w, k)
-                common = np.bincount(b.word_doc, (k[b.word_slot] > 0) & (w[b.word_slot] > 0.5), b.n_texts)
-                # of a unit that isn't prose: many separators make a table, short parts a list
-                per_part = b.spoken / np.maximum(1, b.lines)
-                look = np.where(b.separators > 0.6, 0, np.where((b.separators > 0.15) | (b.lines > 1) & (per_part <= 6) & (b.symbols < 0.2), 1, 2))
-                cells = np.bincount(b.doc * 3 + look, b.chars * (v.sum(axis=1) < 0), b.n_texts * 3).reshape(-1, 3)
-                split = np.searchsorted(b.doc, np.arange(b.n_texts + 1)).astype(np.int32)
+                n = len(texts)
+                totals, cells, units = np.zeros((7, n)), np.zeros((n, 3)), []
+                for own, pieces in _pieces(texts):
+                    b = Batch(pieces)
+                    v = b.votes(w, k)
+                    common = np.bincount(b.word_doc, (k[b.word_slot] > 0) & (w[b.word_slot] > 0.5), b.n_texts)
+                    # of a unit that isn't prose: many separators make a table, short parts a list
+                    per_part = b.spoken / np.maximum(1, b.lines)
+                    look = np.where(b.separators > 0.6, 0, np.where((b.separators > 0.15) | (b.lines > 1) & (per_part <= 6) & (b.symbols < 0.2), 1, 2))
+                    row = own[b.doc]
+                    cells += np.bincount(row * 3 + look, b.chars * (v.sum(axis=1) < 0), n * 3).reshape(-1, 3)
+                    for j, x in enumerate((b.words, b.solid, b.line_ends[0], b.line_ends[1], b.letters, b.symbols * b.solid)):
+                        totals[j] += np.bincount(row, x, n)
+                    totals[6] += np.bincount(own, common, n)
+                    units.append((row, pattern(v), b.chars))
+                words, solid, lines, ended, letters, symbols, common = totals
+                row, patterns, chars = (np.concatenate(x) for x in zip(*units))
+                split = np.searchsorted(row, np.arange(n + 1)).astype(np.int32)
                 blank = np.array([not t or t.isspace() for t in texts], bool)
                 real = lambda x: pa.array(np.where(blank, 0.0, x))
                 yield pa.record_batch(
                     {
                         "id": part.column(0),
                         "n_words": pa.array(words.astype(np.int64)),
-                        "mean_word_length": real(sums(b.letters) / np.maximum(1, words)),
-                        "symbol_ratio": real(sums(b.symbols * b.solid) / solid),
-                        "ended_lines": real(sums(b.line_ends[1]) / lines),
+                        "mean_word_length": real(letters / np.maximum(1, words)),
+                        "symbol_ratio": real(symbols / np.maximum(1, solid)),
+                        "ended_lines": real(ended / np.maximum(1, lines)),
                         "common_words": real(common / np.maximum(1, words)),
                         "look": pa.array(np.where(blank, -1, cells.argmax(axis=1)).astype(np.int32)),
-                        "patterns": pa.ListArray.from_arrays(pa.array(split), pa.array(pattern(v))),
-                        "chars": pa.ListArray.from_arrays(pa.array(split), pa.array(b.chars.astype(np.int32))),
+                        "patterns": pa.ListArray.from_arrays(pa.array(split), pa.array(patterns)),
+                        "chars": pa.ListArray.from_arrays(pa.array(split), pa.array(chars.astype(np.int32))),
                     }
                 )
 

@@ -251,3 +251,15 @@ def test_plans_read_only_what_they_need(spark):
     plan = queries.queries()["p6_found"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"ReadSchema: struct<row_id:bigint,text:string>", plan) and "Exchange" not in plan
     assert F  # columns only
+
+
+def test_long_texts_are_cut_without_loss():
+    rng = random.Random(4)
+    old, quality.BATCH_CHARS = quality.BATCH_CHARS, 100
+    try:
+        texts = ["", "a" * 350, " ".join(rng.choice(VOCAB) for _ in range(200)), "short", "line\n" * 60]
+        got = [(o, p) for own, pieces in quality._pieces(texts) for o, p in zip(own.tolist(), pieces)]
+        assert [o for o, _ in got] == sorted(o for o, _ in got) and all(len(p) <= 100 for _, p in got)
+        assert ["".join(p for o, p in got if o == k) for k in range(5)] == texts
+    finally:
+        quality.BATCH_CHARS = old
