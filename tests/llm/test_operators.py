@@ -51,6 +51,16 @@ def test_garbled_records_come_out_restored(spark):
     assert {r.row_id for r in encoding.garbled_ids(df, "row_id", "text").collect()} == {100, 101, 104}
 
 
+def test_frequent_garbling_is_found(spark):
+    clean = "Le marché du café fermé malgré la fête. "
+    garbled = lambda t: t.encode().decode("latin_1")
+    rows = [(i, f"{clean}{VOCAB[i]}") for i in range(100)] + [(200 + i, f"Le marché {VOCAB[i]} de la fête {garbled('malgré')}.") for i in range(100)]
+    rows += [(400 + i, f"Le {garbled('marché')} du {garbled('café')}.") for i in range(300)]
+    got = {r.row_id: r.restored for r in encoding.restored(spark.createDataFrame(rows, "row_id long, text string"), "row_id", "text").collect()}
+    assert set(got) == {*range(200, 300), *range(400, 700)}
+    assert got[200] == f"Le marché {VOCAB[0]} de la fête malgré." and got[400] == "Le marché du café."
+
+
 # 2: text types
 def test_text_types(spark):
     sentence = "However, the old {0} near the river was quiet, and nobody in the village had seen the {1} before the storm. "
