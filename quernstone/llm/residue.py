@@ -6,13 +6,13 @@ them and from unlabelled records by expectation-maximization, so that it knows t
 things that error pages and filler say.  Then every passage of every record is scored, and
 a record is residue if one of its passages is.  Quotations and code are not looked at.
 
-The model is fitted on a bounded sample: ``MAX_TRUSTED`` trusted and ``MAX_UNLABELLED``
-unlabelled records, those with the least hashes of their ids among those of at most
-``SAMPLE_CHARS`` characters.  All records are scored, and wholly.
+The model is fitted on all passages of all records, as distinct forms with their counts, so
+that neither it nor the threshold depends on the size of the table.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,52 +20,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.residue_core import DIGITS, SLOT, Model, features, fit, passages, trusted, weighty
-from quernstone.plans.durable import spread
+from quernstone.llm.residue_core import DIGITS, FEATURE_BITS, SLOT, Model, chances, counted, features, fit, passages, trusted, weighty
+from quernstone.plans.durable import spread, written
 
-MAX_TRUSTED = 5_000
-MAX_UNLABELLED = 10_000
-#: Only texts up to this length are taken as unlabelled ones, so that the sample is bounded.
-SAMPLE_CHARS = 20_000
-#: Only texts up to this length, with quotations, are tried as trusted records.
-TRY_CHARS = 1_000
 SAMPLE_SLOT = "{{ summary }}"
 
 
-def _trusted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Forms of passages, whether their record is trusted, and how many there are."""
+    forms: Counter[tuple[str, bool]] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = {"form": pa.array([f for f, _ in forms], pa.string()), "known": pa.array([k for _, k in forms], pa.bool_()), "n": pa.array(list(forms.values()), pa.int64())}
+        forms.clear()
+        return pa.record_batch(out)
+
     for b in batches:
-        yield b.filter(pa.array([trusted(t) for t in b.column(1).to_pylist()], pa.bool_()))
+        for t in b.column(1).to_pylist():
+            if t:
+                known = trusted(t)
+                forms.update((DIGITS.sub("0", p), known) for p in passages(t))  # numbers are all alike
+            if len(forms) > 100_000:
+                yield flush()
+    yield flush()
+
+
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The forms' features; a place to be filled in teaches nothing where its record isn't trusted."""
+    for b in batches:
+        known = b.column(1).to_pylist()
+        own = [np.zeros(0, np.int32) if not k and SLOT.fullmatch(f) else features(f) for f, k in zip(b.column(0).to_pylist(), known)]
+        ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*own, np.zeros(0, np.int32)]), pa.int32()))
+        out = pa.record_batch({"known": b.column(1), "n": b.column(2), "f": lists})
+        yield out.filter(pa.array(np.diff(ends) > 0, pa.bool_()))
+
+
+def _weighted(forms: DataFrame, model=None) -> tuple[np.ndarray, float, float]:
+    """Feature counts of ``forms``, their number, and the greatest change of their chances.
 
+    With a broadcast ``model``, its arguments of ``chances`` and those before, each counts by its
+    chance.  At most as many sums as there are features come to the driver.
+    """
 
-def learn(rows: DataFrame, max_trusted: int = MAX_TRUSTED, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """The model for ``rows`` (``id``, ``text``), from a bounded sample of them."""
-    keyed = rows.select(F.xxhash64("id").alias("h"), "text").where("text is not null")
-    known = keyed.where(F.length("text") <= TRY_CHARS).mapInArrow(_trusted_rows, "h long, text string")
-    sure = [r["text"] for r in known.orderBy("h", "text").limit(max_trusted).collect()]
-    open_ = [r["text"] for r in keyed.where(F.length("text") <= SAMPLE_CHARS).orderBy("h", "text").limit(max_unlabelled).collect()]
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, total, change = np.zeros(2 << FEATURE_BITS), 0.0, 0.0
+        for b in batches:
+            lists, w = b.column(1), b.column(0).to_numpy(zero_copy_only=False).astype(float)
+            f, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            if model is not None:
+                now, before = model.value
+                p = chances(f, sizes, *now)
+                change = max(change, float(np.abs(p - (chances(f, sizes, *before) if before else 0.0)).max(initial=0)))
+                w = w * np.where(p < 1e-12, 0.0, p)  # less than what a sum of floats keeps
+            sums += counted(f, sizes, w)
+            total += float(w.sum())
+        at = np.flatnonzero(sums)
+        yield pa.record_batch({"slot": pa.array([-2, -1, *at.tolist()], pa.int64()), "v": pa.array([change, total, *sums[at].tolist()], pa.float64())})
+
+    got = forms.select("n", "f").mapInArrow(apply, "slot long, v double").groupBy("slot").agg(F.sum("v").alias("v"), F.max("v").alias("most")).toPandas()
+    own = got[got["slot"] >= 0]
+    sums = np.zeros(2 << FEATURE_BITS)
+    sums[own["slot"].to_numpy()] = own["v"].to_numpy()
+    return sums, float(got.loc[got["slot"] == -1, "v"].sum()), float(got.loc[got["slot"] == -2, "most"].max()) if len(got) else 0.0
+
+
+def learn(rows: DataFrame) -> Model:
+    """The model for ``rows`` (``id``, ``text``), from all of them."""
+    context = rows.sparkSession.sparkContext
+    raw = rows.select("id", "text").where("text is not null").mapInArrow(_forms, "form string, known boolean, n long")
+    forms = written(raw.groupBy("form", "known").agg(F.sum("n").alias("n")).mapInArrow(_featured, "known boolean, n long, f array<int>"))
+    pos, n_pos, _ = _weighted(forms.where("known"))
+    total, n_total, _ = _weighted(forms.where("not known"))
     slot = features(SAMPLE_SLOT)
-    positive, unlabelled, forms = [slot] * 20, [], {}
-    for t in sure:
-        positive += [f for p in passages(t) if len(f := features(p))]
-    for t in open_:
-        if not trusted(t):
-            for p in passages(t):
-                form = DIGITS.sub("0", p)  # numbers are all alike
-                if form not in forms:
-                    forms[form] = np.zeros(0, np.int32) if SLOT.fullmatch(p) else features(form)
-                if len(forms[form]):
-                    unlabelled.append(forms[form])
-    return fit(positive, unlabelled)
-
-
-def residue(df: DataFrame, id_col: str, text: str, max_trusted: int = MAX_TRUSTED, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
+    pos += 20 * counted(slot, np.array([len(slot)]), np.ones(1))
+
+    def guess(odds: np.ndarray, prior: float, margin: float, before: tuple | None) -> tuple[np.ndarray, float, float]:
+        model = context.broadcast(((odds, prior, margin), before))
+        out = _weighted(forms.where("not known"), model)
+        model.destroy()
+        return out
+
+    return fit(pos, n_pos, total, n_total, guess)
+
+
+def residue(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """A row for each row of ``df``: ``score``, the log odds of its worst passage, ``passage``, ``is_residue``.
 
     Null, empty and blank texts have no passage, a null score and are no residue.  Repeated
     rows come out each time; other columns don't matter.  An empty table gives an empty result.
     """
     rows = spread(df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")))
-    model = df.sparkSession.sparkContext.broadcast(learn(rows, max_trusted, max_unlabelled))
+    model = df.sparkSession.sparkContext.broadcast(learn(rows))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

@@ -142,35 +142,47 @@ class Model:
         return float(self.odds[f].sum()) * min(1.0, 14 / max(1, len(f))) ** 0.5 + self.prior if len(f) else -9.0
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], rounds: int = 12, smooth: float = 0.2,
+def chances(f: np.ndarray, sizes: np.ndarray, odds: np.ndarray, prior: float, margin: float) -> np.ndarray:
+    """How probably each passage is residue beyond ``margin``; ``f`` holds their features, ``sizes`` how many each has."""
+    at = np.repeat(np.arange(len(sizes)), sizes)
+    damp = np.minimum(1.0, 14 / np.maximum(1, sizes)) ** 0.5
+    return 1 / (1 + np.exp(-np.clip(np.bincount(at, odds[f], len(sizes)) * damp + prior - margin, -50, 50)))
+
+
+def counted(f: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """How often each feature occurs, each passage counting its weight."""
+    return np.bincount(f, np.repeat(weights, sizes), 2 << FEATURE_BITS)
+
+
+def fit(pos: np.ndarray, n_pos: float, total: np.ndarray, n_total: float, guess, rounds: int = 12, smooth: float = 0.2,
         margin: float = 4.0, weight: float = 0.3) -> Model:
     """Naive Bayes by expectation-maximization: trusted passages stay residue, the others' class is a
     guess that each round makes again.  It starts with the unlabelled ones as content; one of them
     joins the residue only beyond ``margin``, and then counts ``weight`` of a trusted one, so that
-    the class doesn't drift away from what it was trusted for."""
+    the class doesn't drift away from what it was trusted for.
+
+    ``pos`` and ``total`` are the feature counts of the trusted and the other passages, ``n_pos`` and
+    ``n_total`` their numbers.  ``guess(odds, prior, margin, before)`` gives the feature counts of the
+    others weighted by their chances, the sum of these, and by how much the chances differ at most
+    from those with the arguments ``before`` (None: from 0)."""
     size = 2 << FEATURE_BITS
     share_of = np.where(np.arange(size) < size // 2, 1.0, TRIPLES)
-    flat = lambda x: np.concatenate([*x, np.zeros(0, np.int32)])
-    pos = np.bincount(flat(positive), minlength=size).astype(float)
-    f, at = flat(unlabelled), np.repeat(np.arange(len(unlabelled)), [len(x) for x in unlabelled])
-    n = np.array([len(x) for x in unlabelled], float)
-    damp = np.minimum(1.0, 14 / np.maximum(1, n)) ** 0.5
-    p = np.zeros(len(unlabelled))
-    odds, prior = np.zeros(size), 0.0
+    guessed, n_guessed = np.zeros(size), 0.0
+    odds, prior, before = np.zeros(size), 0.0, None
     for _ in range(rounds):
-        a = pos + weight * np.bincount(f, p[at], size)
-        b = np.bincount(f, (1 - p)[at], size)
+        a = pos + weight * guessed
+        b = np.maximum(total - guessed, 0.0)
         # features seen in neither say nothing: smoothing in the proportion of the two classes
         sa, sb = a.sum() + 1e-9, b.sum() + 1e-9
         share = sa / (sa + sb)
         odds = np.log((a + smooth * share * 5 + 1e-6) / sa) - np.log((b + smooth * (1 - share) * 5 + 1e-6) / sb)
         odds = np.clip(odds, -6, 6) * share_of
-        prior = float(np.log((len(positive) + p.sum() + 1) / (len(unlabelled) - p.sum() + 1)))
+        prior = float(np.log((n_pos + n_guessed + 1) / (n_total - n_guessed + 1)))
         prior = max(prior, -6.0)
-        new = 1 / (1 + np.exp(-np.clip(np.bincount(at, odds[f], len(n)) * damp + prior - margin, -50, 50)))
-        if np.abs(new - p).max(initial=0) < 1e-3:
+        guessed, n_guessed, change = guess(odds, prior, margin, before)
+        if change < 1e-3:
             break
-        p = new
+        before = (odds, prior, margin)
     return Model(odds.astype(np.float32), prior)
 
 

@@ -224,6 +224,14 @@ def test_residue(spark):
     assert got == {1000 + i for i in range(15)}
 
 
+def test_residue_does_not_depend_on_the_size_of_the_table(spark):
+    rows = [(f"The {prose(12)} was measured. {prose(10).capitalize()}.",) for _ in range(95)] + [("404 Not Found\n\nThe requested page was not found on this server.",)] * 5
+    df = spark.createDataFrame(rows, "text string").withColumn("id", F.monotonically_increasing_id())
+    many = df.select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("k"), "text").select(F.monotonically_increasing_id().alias("id"), "text")
+    small, large = residue.learn(df), residue.learn(many)
+    assert large.prior == pytest.approx(small.prior, abs=0.2)
+
+
 def test_places_to_fill_in():
     for t in ("{{x}}", "${HOME_DIR}", "{% block a %}", "<%= x %>", "%(a)s", "%NAME%", "@@A_B@@", "[[tag]]", "«name»", "{lr}", "<insert date>", "[YOUR NAME HERE]", "(TBD: x)"):
         assert residue_core.SLOT.fullmatch(t), t
