@@ -119,16 +119,21 @@ def chained(runs: list[tuple[int, int, int]], edits: int, least: int) -> tuple[i
     """Start, end and edits of the longest chain of runs joined over at most ``edits`` edits."""
     best = (0, 0, 0)
     runs = sorted(r for r in runs if r[1] - r[0] >= least)
-    chains: list[tuple[int, int, int, int]] = []  # start, end, shift, edits so far
+    # end and start of the chains so far, by diagonal and edits; runs of a diagonal come in order of their ends
+    chains: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for s, e, d in runs:
-        here = (s, e, d, 0)
-        for ps, pe, pd, cost in chains[-64:]:
-            more = cost + max(abs(d - pd), s - pe, 1)
-            if pe < e and more <= edits and ps < here[0]:
-                here = (ps, e, d, more)
-        chains.append(here)
-        if here[1] - here[0] > best[1] - best[0]:
-            best = (here[0], here[1], here[3])
+        own = {0: s}
+        for (pd, cost), ends in chains.items():
+            for pe, ps in reversed(ends):
+                more = cost + max(abs(d - pd), s - pe, 1)
+                if more > edits:
+                    break  # the others end sooner
+                if pe < e and ps < own.get(more, s):
+                    own[more] = ps
+        for cost, ps in sorted(own.items()):
+            chains.setdefault((d, cost), []).append((e, ps))
+            if e - ps > best[1] - best[0]:
+                best = (ps, e, cost)
     return best
 
 

@@ -204,6 +204,11 @@ def test_leaks_allow_an_edit(spark):
     assert leaks.leaks(df("doc_id", doc), "doc_id", "text", df("item_id", item), "item_id", "text", edits=0).first() is None
 
 
+def test_chains_reach_past_many_short_runs():
+    short = [(10 + 5 * k, 13 + 5 * k, 1) for k in range(150)]
+    assert leaks.chained([(0, 1000, 0), *short, (1001, 1500, 0)], 1, 3) == (0, 1500, 1)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.integers(1, 20))
 def test_qgram_hashes_are_of_the_window(codes, q):
