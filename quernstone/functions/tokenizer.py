@@ -27,9 +27,10 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?U)" + SPLIT_PATTERN), F.lit(0))
 
 
-def pretoken_counts(docs: DataFrame, text: str, cap: int = 10_000) -> DataFrame:
-    """How often each piece occurs in the texts cut to ``cap`` characters."""
-    return docs.select(F.explode(pretokens(F.left(F.col(text), F.lit(cap)))).alias("pretoken")).groupBy("pretoken").agg(F.count(F.lit(1)).alias("n"))
+def pretoken_counts(docs: DataFrame, text: str, cap: int | None = None) -> DataFrame:
+    """How often each piece occurs in the texts, cut to ``cap`` characters if given."""
+    own = F.col(text) if cap is None else F.left(F.col(text), F.lit(cap))
+    return docs.select(F.explode(pretokens(own)).alias("pretoken")).groupBy("pretoken").agg(F.count(F.lit(1)).alias("n"))
 
 
 def read_ranks(path: str = RANK_FILE) -> dict[bytes, int]:

@@ -47,6 +47,14 @@ def test_batches_stay_in_row_groups(docs):
     assert {r.epoch for r in got} == {1, 2} and sum(r.n_docs for r in got) == 2 * 59 and max(r.n_docs for r in got) == 2
 
 
+def test_pretokens_of_whole_texts_are_counted(spark):
+    df = spark.createDataFrame([("a b" * 5_000 + " end",), ("end",), (None,)], "t string")
+    counts = {r.pretoken: r.n for r in tok.pretoken_counts(df, "t").collect()}
+    assert counts[" end"] == 1 and sum(len(p) * n for p, n in counts.items()) == 15_007
+    cut = {r.pretoken: r.n for r in tok.pretoken_counts(df, "t", cap=10_000).collect()}
+    assert sum(len(p) * n for p, n in cut.items()) == 10_003
+
+
 def test_pretokens_lose_nothing_and_agree(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
     pattern = regex.compile(tok.SPLIT_PATTERN)
