@@ -39,6 +39,45 @@ def test_alignment_names_the_codecs():
     runs = encoding_core.align("pÃªche", "pêche")
     assert runs == [("Ãª", "ê")] and encoding_core.PAIRS.index(("latin_1", "utf_8")) in encoding_core.explained_by(runs)
     assert encoding_core.align("abc", "abd") is None
+    latin = encoding_core.PAIRS.index(("latin_1", "utf_8"))
+    assert (latin, "Ãª", "ê") in encoding_core.mappings("pÃªche", "pêche")
+    koi = encoding_core.PAIRS.index(("cp1251", "koi8_r"))
+    assert {(x, y) for k, x, y in encoding_core.mappings("НПМПЛП", "молоко") if k == koi} == {("Н", "м"), ("П", "о"), ("М", "л"), ("Л", "к")}
+    gb = encoding_core.PAIRS.index(("latin_1", "gb18030"))
+    assert encoding_core.mappings("ÈË", "人") and (gb, "ÈË", "人") in encoding_core.mappings("ÈË", "人")
+
+
+def test_units_of_unspaced_script_stand_at_words_and_numbers():
+    got = set(encoding_core.units("每天有391个人在Elorwenny的市场 pêche молоко"))
+    assert {("a0", "个"), ("a0", "个人"), ("b0", "有"), ("aElorwenny", "的"), ("bElorwenny", "在"), ("tpche", "pêche")} <= got
+    assert any(k.startswith("s") and u == "молоко" for k, u in got)
+
+
+def test_sequences_are_undone_beside_lost_bytes():
+    text = "夕日が古い".encode().decode("latin_1")
+    assert encoding_core.undo_sequences(text, "latin_1")[0] == "夕日が古い"
+    assert encoding_core.undo_sequences(text[:7] + text[8:], "latin_1")[0].startswith("夕日") and encoding_core.undo_sequences("é à Ñ©ïîìíê", "latin_1")[1] == ""
+
+
+def test_nothing_is_tried_that_no_twins_have_shown(spark):
+    clean = "La pêche dorée près de la forêt où le théâtre célèbre une fenêtre brûlée. "
+    other = "Molto bene qui, e così però più là. "
+    rows = [(i, f"{other}{i}") for i in range(60)] + [(100, clean.encode().decode("cp437"))]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    assert encoding.restored(df, "row_id", "text").collect() == []
+    rows += [(200 + i, f"{clean}{i}") for i in range(60)]
+    got = encoding.restored(spark.createDataFrame(rows, "row_id long, text string"), "row_id", "text").collect()
+    assert [(r.row_id, r.restored) for r in got] == [(100, clean)]
+
+
+def test_dots_behind_right_words_are_no_garbling(spark):
+    words = "кувшин дорога монета молоко город берег ветер".split()
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice(words) for _ in range(12))
+    rows = [(i, line() + ".") for i in range(80)] + [(100 + i, line().encode("koi8_r").decode("cp1251")) for i in range(1)]
+    rows += [(300, "… ".join(words) + "…")]
+    got = {r.row_id: r.restored for r in encoding.restored(spark.createDataFrame(rows, "row_id long, text string"), "row_id", "text").collect()}
+    assert set(got) == {100} and all(w in words for t in got.values() for w in t.split())
 
 
 def test_garbled_records_come_out_restored(spark):
