@@ -5,7 +5,8 @@ shortest run of w words in any item have c characters.  If a run of w words of a
 in a document with at most e edits, the two share at least ``c + 1 - q - q * e`` q-grams (the
 q-gram lemma) whose offsets, document less item, differ by at most e.  So shared q-grams are
 counted in overlapping diagonal bands twice as wide; only regions that reach the bound and
-are wide enough for w words go on, to banded alignment.
+are wide enough for w words go on, to banded alignment: dynamic programming over the band's
+diagonals and numbers of edits, which finds the longest stretches with no more than e edits.
 
 The items are the queries: they are indexed in blocks of bounded size, each of which is
 broadcast and held against the whole corpus.
@@ -98,43 +99,59 @@ class Index:
         return np.repeat(at, n), self.item[where], self.pos[where]
 
 
-def banded_runs(doc: np.ndarray, item: np.ndarray, low: int, high: int, shifts: range) -> list[tuple[int, int, int]]:
-    """Equal runs (start in doc, end, shift) within doc[low:high] along the band's diagonals."""
-    out = []
-    for d in shifts:
-        a, b = max(low, d, 0), min(high, len(doc), len(item) + d)
-        if a < b:
-            same = np.concatenate([[0], (doc[a:b] == item[a - d : b - d]).view(np.int8), [0]])
-            step = np.flatnonzero(np.diff(same))
-            out += [(a + int(s), a + int(e), d) for s, e in zip(step[::2], step[1::2])]
-    return out
+def whole_words(spaces: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words wholly within each stretch, with a space before and behind; ``spaces`` counts those before each place."""
+    return np.maximum(0, spaces[end] - spaces[start] - 1)
 
 
-def whole_words(codes: np.ndarray, start: int, end: int) -> int:
-    """Words wholly within codes[start:end], each with a space before and behind."""
-    return max(0, int((codes[start:end] == 32).sum()) - 1)
+def aligned(doc: np.ndarray, item: np.ndarray, low: int, high: int, shifts: range, edits: int) -> tuple[int, int, int, int, int]:
+    """Banded alignment of doc[low:high] with ``item`` along the diagonals ``shifts`` (document less item).
 
+    Most words in a row that are equal, most words of a stretch with at most ``edits`` edits; and start, end
+    and edits of the longest such stretch.  Stretches begin and end with equal characters; an
+    edit changes, adds or takes away one character.
 
-def chained(runs: list[tuple[int, int, int]], edits: int, least: int) -> tuple[int, int, int]:
-    """Start, end and edits of the longest chain of runs joined over at most ``edits`` edits."""
+    ``first[d]`` holds, for every place that a stretch can end at on a diagonal, where the longest one with so
+    many edits starts.  A run of equal characters carries on the least start that any edit has
+    brought to it, so a whole diagonal is one running minimum within its runs.
+    """
+    low, high = max(low, 0), min(high, len(doc))
+    size = high - low + 1
+    if size < 2:
+        return 0, 0, 0, 0, 0
+    none, here = np.int64(1) << 40, np.arange(size, dtype=np.int64)
+    spaces = np.concatenate([[0], np.cumsum(doc[low:high] == 32)])
+    same, run = {}, {}
+    for d in shifts:
+        eq = np.zeros(size, bool)
+        a, b = max(low, d, 0), min(high, len(item) + d)
+        if a < b:
+            eq[a - low + 1 : b - low + 1] = doc[a:b] == item[a - d : b - d]
+        same[d], run[d] = eq, np.cumsum(~eq)
+    first: dict[int, np.ndarray] = {}
+    exact = words = 0
     best = (0, 0, 0)
-    runs = sorted(r for r in runs if r[1] - r[0] >= least)
-    # end and start of the chains so far, by diagonal and edits; runs of a diagonal come in order of their ends
-    chains: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for s, e, d in runs:
-        own = {0: s}
-        for (pd, cost), ends in chains.items():
-            for pe, ps in reversed(ends):
-                more = cost + max(abs(d - pd), s - pe, 1)
-                if more > edits:
-                    break  # the others end sooner
-                if pe < e and ps < own.get(more, s):
-                    own[more] = ps
-        for cost, ps in sorted(own.items()):
-            chains.setdefault((d, cost), []).append((e, ps))
-            if e - ps > best[1] - best[0]:
-                best = (ps, e, cost)
-    return best
+    for e in range(edits + 1):
+        new = {}
+        for d in shifts:
+            came = here.copy()
+            if e:
+                fewer = [np.concatenate([[none], first[x][:-1]]) for x in (d, d - 1) if x in first]  # changed, added to the document
+                fewer += [first[d + 1]] if d + 1 in first else []  # left out of it
+                inside = (here + low - d >= 0) & (here + low - d <= len(item))
+                came = np.where(inside, np.minimum.reduce([came, *fewer]), came)
+            # the least start within each run of equal characters: later runs have lower keys
+            start = np.minimum.accumulate(came - run[d] * none) + run[d] * none
+            end = np.flatnonzero(same[d] & (start < here))
+            if len(end):
+                n = int(whole_words(spaces, start[end], end).max())
+                words, exact = max(words, n), max(exact, n) if e == 0 else exact
+                k = end[np.argmax(end - start[end])]
+                if k - start[k] > best[1] - best[0]:
+                    best = (int(start[k]), int(k), e)
+            new[d] = np.where(start < here, start, none)  # an empty stretch has nothing to edit
+        first = new
+    return exact, words, best[0] + low, best[1] + low, best[2]
 
 
 def slices(texts: list[str], most: int = 500, chars: int = 3_000_000) -> Iterator[tuple[int, int]]:
@@ -227,11 +244,9 @@ def _search(ix: Index, ids: pa.Array, texts: list[str], edits: int, words: int)
                 continue
             seen.add((d, i, lo, hi, smin, smax))
             text = parts.setdefault(d, _codes(norm[d]))
-            runs = banded_runs(text, ix.codes[i], lo - chars, hi + ix.q + chars, range(smin - edits, smax + edits + 1))
-            n_words = max((whole_words(text, s, e) for s, e, _ in runs if e - s > 2), default=0)
-            first, last, n_edits = chained(runs, edits, 3)
+            n_words, most, first, last, n_edits = aligned(text, ix.codes[i], lo - chars, hi + ix.q + chars, range(smin - edits, smax + edits + 1), edits)
             n_chars = last - first
-            if n_words >= words or whole_words(text, first, last) >= words:
+            if most >= words:
                 old = best.setdefault((d, i), [0, 0, 0])
                 old[0] = max(old[0], n_words)
                 if n_chars > old[1]:

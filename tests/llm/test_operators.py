@@ -243,9 +243,49 @@ def test_leaks_allow_an_edit(spark):
     assert leaks.leaks(df("doc_id", doc), "doc_id", "text", df("item_id", item), "item_id", "text", edits=0).first() is None
 
 
-def test_chains_reach_past_many_short_runs():
-    short = [(10 + 5 * k, 13 + 5 * k, 1) for k in range(150)]
-    assert leaks.chained([(0, 1000, 0), *short, (1001, 1500, 0)], 1, 3) == (0, 1500, 1)
+def longest_stretches(doc, item, edits):
+    """By plain dynamic programming over all cells: most whole words (exact, with edits) and the longest length."""
+    spaces = [0]
+    for c in doc:
+        spaces.append(spaces[-1] + (c == 32))
+    table = [[[None] * (edits + 1) for _ in range(len(item) + 1)] for _ in range(len(doc) + 1)]
+    exact = words = longest = 0
+    for i in range(len(doc) + 1):
+        for j in range(len(item) + 1):
+            for e in range(edits + 1):
+                starts = []
+                if i and j and doc[i - 1] == item[j - 1]:
+                    before = table[i - 1][j - 1][e]
+                    starts.append(i - 1 if before is None else before)
+                ended = bool(starts)
+                if e:
+                    starts += [s for s in ((table[i - 1][j - 1][e - 1] if i and j else None), (table[i - 1][j][e - 1] if i else None), (table[i][j - 1][e - 1] if j else None)) if s is not None]
+                table[i][j][e] = min(starts, default=None)
+                if ended:
+                    s = table[i][j][e]
+                    n = max(0, spaces[i] - spaces[s] - 1)
+                    words, longest = max(words, n), max(longest, i - s)
+                    exact = max(exact, n) if e == 0 else exact
+    return exact, words, longest
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.data(), st.sampled_from(["ab ", "a ", "abcdefgh "]), st.integers(0, 3))
+def test_banded_alignment_is_plain_alignment(data, alphabet, edits):
+    text = lambda n: data.draw(st.text(alphabet=alphabet, max_size=n))
+    item = text(14)
+    doc = text(6) + item[: data.draw(st.integers(0, 14))] + text(2) + item + text(4)
+    d, i = (np.array([ord(c) for c in t], np.uint32) for t in (doc, item))
+    exact, words, first, last, n = leaks.aligned(d, i, 0, len(d), range(-len(i) - 1, len(d) + 2), edits)
+    assert (exact, words, last - first) == longest_stretches(d.tolist(), i.tolist(), edits) and n <= edits
+
+
+def test_an_edit_amid_repetitive_words_is_passed(spark):
+    item = " ".join(["aaaa aaab"] * 10) + " tail"
+    doc = "start " + item[:45] + "x" + item[46:] + " end"
+    df = lambda c, t: spark.createDataFrame([(1, t)], f"{c} long, text string")
+    r = leaks.leaks(df("doc_id", doc), "doc_id", "text", df("item_id", item), "item_id", "text").first()
+    assert r is not None and r.n_edits <= 1 and r.share > 0.9
 
 
 @settings(max_examples=100, deadline=None)
