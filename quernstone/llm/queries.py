@@ -56,16 +56,19 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.report(_overlaps(spark, d), table(spark, d, "shard"), "row_id", "split", "source")
 
 
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.linked(table(spark, d, "shard", "row_id", "text"), "row_id", "text", similarity=0.6, size=3, min_words=60)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    shard = table(spark, d, "shard", "row_id", "text")
-    members, links = neardup.linked(shard, "row_id", "text", similarity=0.6, size=3, min_words=60)
+    members, links = _near(spark, d)
     pairs = neardup.all_pairs(members, links).toDF("row_id_a", "row_id_b")
     return _without_garbled(spark, d, pairs, "row_id_a", "row_id_b")
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    members, links = neardup.linked(table(spark, d, "shard", "row_id", "text"), "row_id", "text")
-    return neardup.groups(members, links).withColumnRenamed("id", "row_id")
+    """The groups that the pairs of ``p5_found`` make up, with garbled records."""
+    return neardup.groups(*_near(spark, d)).withColumnRenamed("id", "row_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

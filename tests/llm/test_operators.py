@@ -175,6 +175,52 @@ def test_near_duplicates_are_all_there(similar):
     assert all(groups[a].group_id == groups[b].group_id for a, b in got) and groups[1000].rep == groups[1002].rep == 1000
 
 
+def test_long_lists_go_the_exact_way(similar):
+    rows, df = similar
+    sets = {i: triples(t) for i, _, t in rows}
+    want = {(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) * 5 >= len(sets[a] | sets[b]) * 3}
+    got = neardup.all_pairs(*neardup.linked(df, "row_id", "text", similarity=0.6, size=3, min_words=60, longest_list=1))
+    assert {(r.a, r.b) for r in got.collect()} == want
+    share = neardup._by_prefix(spark_sets(df), 0.6).collect()
+    assert len(share) == len(set(share)) and {(r.rep_a, r.rep_b) for r in share} >= {(a, b) for a, b in want if sets[a] != sets[b]}
+
+
+def spark_sets(df):
+    return shingles.text_sets(df.select(F.col("row_id").alias("id"), "text"), df.select(F.col("row_id").alias("id")), 3)
+
+
+def candidates(spark, n, seen):
+    """How many pairs ``n`` texts of 45 % shared passage are compared on, none of which are similar."""
+    rng = random.Random(n)
+    passage = prose(90, rng)
+    rows = [(i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(55)) + " " + passage + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(55))) for i in range(n)]
+    seen.clear()
+    links = neardup.linked(spark.createDataFrame(rows, "row_id long, text string"), "row_id", "text", similarity=0.6, size=3, min_words=60)[1]
+    assert links.count() == 0
+    return sum(seen)
+
+
+def test_a_shared_passage_makes_no_pairs(spark, monkeypatch):
+    seen, write = [], neardup.written
+
+    def counting(df):
+        out = write(df)
+        if out.columns == ["rep_a", "rep_b"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(neardup, "written", counting)
+    few, many = candidates(spark, 750, seen), candidates(spark, 3000, seen)
+    assert many <= 8 * max(few, 750), (few, many)
+
+
+def test_copies_are_listed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "COPIES", 7)
+    members = spark.createDataFrame([(i, 0) for i in range(50)] + [(100, 100), (101, 100), (200, 200)], "id long, rep long")
+    got = [(r.a, r.b) for r in neardup.all_pairs(members, spark.createDataFrame([], "rep_a long, rep_b long")).collect()]
+    assert sorted(got) == sorted([*combinations(range(50), 2), (100, 101)])
+
+
 def test_shares_are_exact():
     assert [shingles.at_least(0.6, n) for n in (5, 10, 11, 0)] == [3, 6, 7, 0]
 
