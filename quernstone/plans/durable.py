@@ -7,6 +7,7 @@ executors share, so that a lost executor costs no more than the tasks it was run
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,16 @@ _STEPS: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where the session names none."""
+    """``spark.checkpoint.dir``; a folder of our own only in local mode, where the session names none.
+
+    On a cluster that names none it is an error: executors don't share a machine's folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     key = id(spark._jsparkSession)
     if key not in _OWN:
         own = tempfile.TemporaryDirectory(prefix="quernstone-", ignore_cleanup_errors=True)
@@ -49,7 +56,8 @@ def remove_steps(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as the cluster runs at once.
 
-    A file of one row group is one task however large; only then is a shuffle added.
+    A file of one row group is one task however large; only then is a shuffle added.  For scans and
+    what follows them without a shuffle: of other plans, asking for partitions would run the first stages.
     """
     spark = df.sparkSession
     want = spark.sparkContext.defaultParallelism

@@ -34,3 +34,20 @@ def test_core_queries_agree_with_sql(spark):
         want = sorted(str([plain(v) for v in r]) for r in cur.fetchall())
         got = sorted(str([plain(v) for v in r]) for r in df.select(*names).collect())
         assert got == want, name
+
+
+def test_what_is_broken_inside_the_subpackage_shows(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(entry_points.__file__).parent
+    shutil.copytree(root / "quernstone", tmp_path / "quernstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)}, capture_output=True, text=True)
+    assert run().stdout.split() == [str(len(catalog.queries()))]
+    (tmp_path / "quernstone/llm").mkdir()
+    (tmp_path / "quernstone/llm/__init__.py").write_text("")
+    (tmp_path / "quernstone/llm/queries.py").write_text("import no_such_module\n")
+    assert "no_such_module" in run().stderr
