@@ -33,6 +33,19 @@ def pretoken_counts(docs: DataFrame, text: str, cap: int | None = None) -> DataF
     return docs.select(F.explode(pretokens(own)).alias("pretoken")).groupBy("pretoken").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pair_counts(counts: DataFrame) -> DataFrame:
+    """How often two bytes stand side by side within the pieces of ``counts`` (``pretoken``, ``n``): what merging would start from.
+
+    ``left`` and ``right`` are bytes as two hexadecimal digits.  Pieces are bytes of a bounded number, so the
+    sums are combined before anything is shuffled.
+    """
+    raw = counts.where("octet_length(pretoken) > 1").select("n", F.hex(F.encode("pretoken", "utf-8")).alias("h"))
+    place = F.explode(F.sequence(F.lit(1), (F.length("h") / 2 - 1).cast("int")))
+    pairs = raw.select("n", F.lower("h").alias("h"), place.alias("k"))
+    left, right = F.substring("h", F.col("k") * 2 - 1, F.lit(2)), F.substring("h", F.col("k") * 2 + 1, F.lit(2))
+    return pairs.groupBy(left.alias("left"), right.alias("right")).agg(F.sum("n").alias("n"))
+
+
 def read_ranks(path: str = RANK_FILE) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
@@ -47,16 +60,24 @@ def encoding(path: str = RANK_FILE):
     return tiktoken.Encoding("ranks", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def _checked(values: pd.Series) -> list[str | None]:
+    if any(t is not None and not isinstance(t, str) for t in values):
+        raise ValueError("only text can be encoded")
+    return list(values)
+
+
 def bpe_encode(text: Column, prepend: int | str | None = None, path: str = RANK_FILE) -> Column:
-    """Token ids, after ``prepend``: an id or a special token's name.  A null text has none."""
+    """Token ids, after ``prepend``: an id or a special token's name.  A null text has none; what is no text is an error."""
     if not (prepend is None or isinstance(prepend, (int, str))):
         raise ValueError("prepend is a token id or a token's name")
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def encode(texts: pd.Series) -> pd.Series:
-        e = encoding(path)
+        e, own = encoding(path), _checked(texts)
         first = [] if prepend is None else [prepend if isinstance(prepend, int) else e.encode_single_token(prepend)]
-        return pd.Series([None if t is None else first + e.encode_ordinary(t) for t in texts], dtype=object)
+        # one thread: the tasks of an executor already use its cores
+        ids = e.encode_ordinary_batch([t or "" for t in own], num_threads=1)
+        return pd.Series([None if t is None else first + x for t, x in zip(own, ids)], dtype=object)
 
     return encode(text)
 
@@ -67,7 +88,8 @@ def bpe_decode(ids: Column, path: str = RANK_FILE) -> Column:
     @F.pandas_udf(T.StringType())
     def decode(lists: pd.Series) -> pd.Series:
         e = encoding(path)
-        return pd.Series([None if x is None else e.decode([int(i) for i in x]) for x in lists], dtype=object)
+        texts = e.decode_batch([[] if x is None else [int(i) for i in x] for x in lists], num_threads=1)
+        return pd.Series([None if x is None else t for x, t in zip(lists, texts)], dtype=object)
 
     return decode(ids)
 
@@ -79,8 +101,8 @@ def merge_table(spark: SparkSession, path: str = RANK_FILE) -> DataFrame:
 
 def special_ids(merges: DataFrame) -> DataFrame:
     """Special tokens' ids: they follow however many merges there are."""
-    n = merges.count()
-    return merges.sparkSession.createDataFrame([(t, n + k) for k, t in enumerate(SPECIAL_TOKENS)], "token string, token_id int")
+    names = F.posexplode(F.array(*map(F.lit, SPECIAL_TOKENS))).alias("k", "token")
+    return merges.agg(F.count(F.lit(1)).alias("n")).select("n", names).select("token", (F.col("n") + F.col("k")).cast("int").alias("token_id"))
 
 
 def token_bytes(merges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EPS = 1.1920929e-07
@@ -48,11 +48,7 @@ def residual(v: Column, first: Column, scale: float, first_scale: float) -> Colu
     return F.zip_with(v, first, lambda x, y: scale * x + first_scale * y)
 
 
-def rounded(v: Column, digits: int = 6) -> Column:
-    return F.transform(v, lambda x: F.round(x, digits))
-
-
-def linear(vectors: DataFrame, weights: DataFrame) -> DataFrame:
-    """Products of the rows (``vec_id``, ``v``) with a small matrix (``row``, ``col``, ``w``): ``vec_id``, ``row``, ``y``."""
-    cells = vectors.select("vec_id", F.posexplode("v").alias("col", "x"))
-    return cells.join(F.broadcast(weights), "col").groupBy("vec_id", "row").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
+def linear(v: Column, rows: list[list[float]]) -> Column:
+    """The products of ``v`` with the rows of a small matrix, a parameter; numbers beyond the shorter of both don't count."""
+    dot = lambda row: _sum(F.transform(F.arrays_zip(F.slice(v, 1, len(row)).alias("x"), F.array(*map(F.lit, row)).alias("w")), lambda p: F.coalesce(p["x"] * p["w"], F.lit(0.0))))
+    return F.array(*(dot(row) for row in rows))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import shard_name
+from quernstone.plans.durable import written
 
 VAL_SHARD = 6542
 DOC_CAP = 10_000
@@ -51,24 +52,33 @@ def capped(corpus: DataFrame, cap: int = DOC_CAP) -> DataFrame:
     return corpus.withColumn("text", F.left("text", F.lit(cap)))
 
 
-def char_budget(corpus: DataFrame, max_chars: int, cap: int = DOC_CAP) -> DataFrame:
+def char_budget(corpus: DataFrame, max_chars: int, cap: int = DOC_CAP, at_once: int = 8) -> DataFrame:
     """The documents that a reader takes in corpus order until it has ``max_chars`` characters.
 
-    The document that crosses the budget is still taken, so is the first of all.  Totals of
-    row groups are summed first; only they pass one window.
+    The document that crosses the budget is still taken, so is the first of all.  Shards are
+    measured in order, ``at_once`` at first and then twice as many each time, and those behind the
+    budget are never read; totals of row groups are kept in written tables, and only they pass one window.
+    The ids of the shards, of which there are a few thousand at most, come to the driver.
     """
     docs = corpus.where("text is not null").withColumn("n_chars", F.length(F.left("text", F.lit(cap))))
-    groups = docs.groupBy("shard_id", "rg_id").agg(F.sum("n_chars").alias("total"))
-    past = Window.orderBy("shard_id", "rg_id").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("prior", F.coalesce(F.sum("total").over(past), F.lit(0))).withColumn("is_first", F.row_number().over(Window.orderBy("shard_id", "rg_id")) == 1)
+    shards = sorted(r["shard_id"] for r in corpus.select("shard_id").where("shard_id is not null").distinct().collect())
+    totals, seen, at = None, 0, 0
+    while at < len(shards) and (totals is None or seen < max_chars):
+        part = docs.where(F.col("shard_id").between(shards[at], shards[min(at + at_once, len(shards)) - 1]))
+        own = written(part.groupBy("shard_id", "rg_id").agg(F.sum("n_chars").alias("total")))
+        seen += own.agg(F.sum("total")).first()[0] or 0
+        totals = own if totals is None else totals.unionByName(own)
+        at, at_once = at + at_once, at_once * 2
+    if totals is None:
+        return docs.where("false").withColumn("before", F.lit(0).cast("long")).drop("text")
+    order = Window.orderBy("shard_id", "rg_id")
+    groups = totals.withColumn("prior", F.coalesce(F.sum("total").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("is_first", F.row_number().over(order) == 1)
     groups = groups.where((F.col("prior") < max_chars) | F.col("is_first"))
-    own = Window.partitionBy("shard_id", "rg_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    near = docs.join(groups.select("shard_id", "rg_id", "prior", "is_first"), ["shard_id", "rg_id"])
-    near = near.withColumn("before", F.col("prior") + F.coalesce(F.sum("n_chars").over(own), F.lit(0)))
+    near = docs.where(F.col("shard_id") <= shards[min(at, len(shards)) - 1]).join(groups, ["shard_id", "rg_id"])
     nth = Window.partitionBy("shard_id", "rg_id").orderBy("pos")
-    very_first = (F.row_number().over(nth) == 1) & F.col("is_first")
-    near = near.withColumn("very_first", very_first)
-    return near.where((F.col("before") < max_chars) | F.col("very_first")).drop("prior", "is_first", "very_first", "text")
+    near = near.drop("text").withColumn("before", F.col("prior") + F.coalesce(F.sum("n_chars").over(nth.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    near = near.withColumn("very_first", (F.row_number().over(nth) == 1) & F.col("is_first"))
+    return near.where((F.col("before") < max_chars) | F.col("very_first")).drop("prior", "is_first", "very_first", "total")
 
 
 def batches(corpus: DataFrame, epochs: int, size: int = 128) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quernstone.functions.text import label, number, stripped
-from quernstone.plans.running import running
+from quernstone.plans.running import ranked, running
 
 COLUMNS = ("run_tag", "exp_no", "commit_hash", "val_bpb", "memory_gb", "status", "description")
 
@@ -53,8 +53,9 @@ def keep_rate(led: DataFrame) -> DataFrame:
 
 
 def preview(led: DataFrame, n: int = 10) -> DataFrame:
-    """The first ``n`` rows of each ledger."""
-    return led.where(F.col("exp_no") < n)
+    """The first ``n`` rows of each ledger, whatever their numbers."""
+    first = Window.partitionBy("run_tag").orderBy("exp_no")
+    return led.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= n).drop("_n")
 
 
 def effort(led: DataFrame) -> DataFrame:
@@ -117,9 +118,9 @@ def hits(led: DataFrame) -> DataFrame:
 
 def top_hits(led: DataFrame) -> DataFrame:
     """Hits ranked by improvement within their ledger, unknown improvements last, then by place."""
-    by = Window.partitionBy("run_tag").orderBy(F.desc_nulls_last("delta"), "exp_no")
-    ranked = hits(led).withColumn("delta", F.round("delta", 6)).withColumn("rank", F.row_number().over(by))
-    return ranked.select("run_tag", "rank", "exp_no", "delta", F.round("val_bpb", 6).alias("val_bpb"), "description")
+    order = [F.desc_nulls_last("delta"), F.asc("exp_no")]
+    by_place = ranked(hits(led).withColumn("delta", F.round("delta", 6)), ["run_tag"], "delta", order, "rank")
+    return by_place.select("run_tag", F.col("rank").cast("int").alias("rank"), "exp_no", "delta", F.round("val_bpb", 6).alias("val_bpb"), "description")
 
 
 def hits_total(led: DataFrame) -> DataFrame:

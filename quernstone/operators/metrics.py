@@ -29,6 +29,5 @@ def bits_per_byte(losses: DataFrame, token_bytes: DataFrame, keys: list[str]) ->
 
 def unigram_nats(tokens: DataFrame) -> DataFrame:
     """A stand-in for a model's losses: ``nats`` of a token by its share of all tokens."""
-    total = tokens.count()
     counts = tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("nats", -F.log(F.col("n") / F.lit(max(1, total))))
+    return counts.withColumn("nats", -F.log(F.col("n") / tokens.agg(F.count(F.lit(1))).scalar()))

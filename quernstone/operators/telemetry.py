@@ -6,6 +6,8 @@ number of steps, so windows over a run are bounded too.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,14 +39,18 @@ def timed(steps: DataFrame) -> DataFrame:
     return steps.withColumns({"seconds_before": total(False), "seconds": total(True)})
 
 
-def budget_stop(steps: DataFrame, budget: float = BUDGET_SECONDS) -> DataFrame:
-    """Steps up to the one at which the time budget is spent: progress before it, time left after it."""
+def _live(steps: DataFrame, budget: float) -> DataFrame:
+    """Steps up to the one at which the time budget is spent, with ``progress`` before each."""
     t = timed(steps)
     over = F.coalesce(F.max(((F.col("step") >= WARMUP_STEPS) & (F.col("seconds") >= budget)).cast("int")).over(_order(False)), F.lit(0))
-    t = t.withColumn("_over", over).where("_over = 0")
-    return t.select(
-        *RUN, "step", F.round(F.least(F.col("seconds_before") / budget, F.lit(1.0)), 6).alias("progress"),
-        F.round(100 * F.least(F.col("seconds_before") / budget, F.lit(1.0)), 4).alias("pct_done"), F.round(F.greatest(F.lit(0.0), budget - F.col("seconds")), 4).alias("remaining"),
+    return t.withColumn("_over", over).where("_over = 0").withColumn("progress", F.least(F.col("seconds_before") / budget, F.lit(1.0)))
+
+
+def budget_stop(steps: DataFrame, budget: float = BUDGET_SECONDS) -> DataFrame:
+    """Steps up to the one at which the time budget is spent: progress before it, time left after it."""
+    return _live(steps, budget).select(
+        *RUN, "step", F.round("progress", 6).alias("progress"), F.round(100 * F.col("progress"), 4).alias("pct_done"),
+        F.round(F.greatest(F.lit(0.0), budget - F.col("seconds")), 4).alias("remaining"),
     )
 
 
@@ -64,37 +70,44 @@ def weight_decay(progress: Column, initial: float = 0.2) -> Column:
     return initial * (1.0 - progress)
 
 
-def schedules(steps: DataFrame, groups: DataFrame, width: int = 512) -> DataFrame:
+def schedules(steps: DataFrame, groups: list[tuple[str, float]], width: int = 512, budget: float = BUDGET_SECONDS) -> DataFrame:
     """What each parameter group is trained with at each step.
 
-    ``groups`` has ``kind`` and ``initial_lr``, a few rows; only the kind ``muon`` has momentum and
+    ``groups`` are kinds and initial rates, a few; only the kind ``muon`` has momentum and
     decay, the others' rates are scaled by the model's width.
     """
-    p = budget_stop(steps).select(*RUN, "step", "progress")
-    lr = F.col("initial_lr") * F.when(F.col("kind") == "muon", F.lit(1.0)).otherwise(F.pow(F.lit(width / 768.0), F.lit(-0.5)))
+    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(float(lr)).alias("initial_lr")) for kind, lr in groups))
+    each = _live(steps, budget).select(*RUN, "step", "progress", F.inline(kinds))
     muon = F.col("kind") == "muon"
-    each = p.withColumn("g", F.explode(F.array(*(F.struct(F.lit(r["kind"]).alias("kind"), F.lit(float(r["initial_lr"])).alias("initial_lr")) for r in groups.collect()))))
-    return each.select("*", "g.kind", "g.initial_lr").select(
-        *RUN, "step", "kind", F.round(lr_multiplier(F.col("progress")), 6).alias("lrm"), F.round(lr * lr_multiplier(F.col("progress")), 8).alias("lr"),
+    lr = F.col("initial_lr") * F.when(muon, F.lit(1.0)).otherwise(F.pow(F.lit(width / 768.0), F.lit(-0.5)))
+    lrm = lr_multiplier(F.col("progress"))
+    return each.select(
+        *RUN, "step", "kind", F.round(lrm, 6).alias("lrm"), F.round(lr * lrm, 8).alias("lr"),
         F.round(F.when(muon, momentum(F.col("step"))), 6).alias("momentum"), F.round(F.when(muon, weight_decay(F.col("progress"))), 6).alias("weight_decay"),
     )
 
 
+#: Steps over which a weighted sum is carried on before it starts afresh; its weights stay far from overflow.
+EMA_BLOCK = 1024
+
+
 def smoothed_loss(steps: DataFrame, decay: float = 0.9) -> DataFrame:
     """Bias-corrected exponential average of the loss; steps without a loss, or with NaN, are passed over.
 
-    One fold over each run's losses in order.
+    Within a block of steps the average is a running sum of losses weighted by rising powers, scaled
+    back; the block before carries over, what lies before that is smaller than rounding.  Two windows
+    on one partitioning, linear in the length of a run.
     """
-    usable = steps.where(F.col("loss").isNotNull() & ~F.isnan("loss"))
-    runs = usable.groupBy(*RUN).agg(F.sort_array(F.collect_list(F.struct("step", "loss"))).alias("s"))
-    start = F.struct(F.lit(0.0).alias("e"), F.array().cast("array<double>").alias("all"))
-    fold = F.aggregate(
-        "s", start,
-        lambda a, x: F.struct((a["e"] * decay + x["loss"] * (1 - decay)).alias("e"), F.concat(a["all"], F.array(a["e"] * decay + x["loss"] * (1 - decay))).alias("all")),
-        lambda a: a["all"],
-    )
-    rows = runs.select(*RUN, F.posexplode(F.arrays_zip(F.col("s"), fold.alias("e"))).alias("t", "x"))
-    return rows.select(*RUN, F.col("x.s.step").alias("step"), F.round(F.col("x.e") / (1 - F.pow(F.lit(decay), F.col("t") + 1)), 6).alias("loss_ema"))
+    usable = steps.where(F.col("loss").isNotNull() & ~F.isnan("loss")).select(*RUN, "step", "loss")
+    run = Window.partitionBy(*RUN).orderBy("step")
+    size = min(EMA_BLOCK, max(1, int(300 / -math.log10(decay))))
+    t = usable.withColumn("t", F.row_number().over(run) - 1).withColumns({"block": F.floor(F.col("t") / size), "k": F.col("t") % size})
+    power = lambda n: F.pow(F.lit(decay), n)
+    within = Window.partitionBy(*RUN, "block").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    own = t.withColumn("own", F.sum((1 - decay) * F.col("loss") * power(-F.col("k"))).over(within) * power(F.col("k")))
+    before = F.last(F.when(F.col("k") == size - 1, F.col("own")), ignorenulls=True).over(run.rowsBetween(Window.unboundedPreceding, -1))
+    average = F.col("own") + power(F.col("k") + 1) * F.coalesce("before", F.lit(0.0))
+    return own.withColumn("before", before).select(*RUN, "step", F.round(average / (1 - power(F.col("t") + 1)), 6).alias("loss_ema"))
 
 
 def throughput(steps: DataFrame) -> DataFrame:
@@ -120,11 +133,11 @@ def run_totals(steps: DataFrame) -> DataFrame:
 
 
 def fail_fast(steps: DataFrame, limit: float = LOSS_LIMIT) -> DataFrame:
-    """Of each run the first step with a NaN or exploding loss (null if there is none) and the steps before."""
+    """Of each run the first step with a NaN or exploding loss (null if there is none) and ``n_steps``, the steps before it or all."""
     bad = F.isnan("loss") | (F.col("loss") > limit)
-    return steps.groupBy(*RUN).agg(F.min(F.when(bad, F.col("step"))).alias("fail_step"), F.count(F.lit(1)).alias("n_steps")).withColumn(
-        "failed", F.col("fail_step").isNotNull()
-    )
+    marked = steps.select(*RUN, "step", F.min(F.when(bad, F.col("step"))).over(Window.partitionBy(*RUN)).alias("fail_step"))
+    done = F.count_if(F.col("fail_step").isNull() | (F.col("step") < F.col("fail_step")))
+    return marked.groupBy(*RUN).agg(F.min("fail_step").alias("fail_step"), done.alias("n_steps")).withColumn("failed", F.col("fail_step").isNotNull())
 
 
 def summaries(lines: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from quernstone.operators import corpus, metrics, packing
 from quernstone.plans.durable import spread
 from quernstone.sources.tables import table
 
-PLANNED, BUDGET, EPOCHS = 64, 1_000_000, 2
+PLANNED, BUDGET, EPOCHS = 64, 1_000_000_000, 2
 
 
 def shard_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,10 @@ def pretoken_counts(spark: SparkSession, d: str) -> DataFrame:
     return tok.pretoken_counts(spread(table(spark, d, "documents", "text")), "text")
 
 
+def pair_counts(spark: SparkSession, d: str) -> DataFrame:
+    return tok.pair_counts(pretoken_counts(spark, d))
+
+
 def bpe_encode(spark: SparkSession, d: str) -> DataFrame:
     docs = spread(table(spark, d, "documents", "doc_id", "text"))
     return docs.select("doc_id", tok.bpe_encode(F.col("text"), tok.BOS).alias("ids"))
@@ -70,6 +74,13 @@ def pack_rows(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_rows(sized)
 
 
+def pack_byte_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Packed as if every byte were a token, which SQL can follow."""
+    docs = table(spark, d, "shard", "row_id", "shard_id", "rg_id", "pos", "text").where("text is not null")
+    sized = docs.select(F.concat_ws("-", "shard_id", "rg_id").alias("pack_group"), "pos", F.col("row_id").alias("doc"), (F.octet_length("text") + 1).alias("n_tokens"))
+    return packing.pack_rows(sized)
+
+
 ROW = ["run_tag", "exp_no", "row_idx"]
 
 
@@ -82,7 +93,7 @@ def shift_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def eval_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = packing.eval_rows(packing.shift_targets(table(spark, d, "token_loss"), ROW), steps=2, batch=4)
+    rows = packing.eval_rows(packing.shift_targets(table(spark, d, "token_loss"), ROW), steps=80, batch=4)
     return rows.select(*ROW, "step", F.size("targets").alias("n_targets"))
 
 
@@ -97,8 +108,8 @@ def bpb_unigram(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = (
-    shard_plan, corpus_split_counts, corpus_doc_cap, corpus_char_budget, corpus_batches, pretoken_counts, bpe_encode, bpe_decode, special_ids,
-    token_bytes, pack_rows, shift_targets, eval_rows, bpb_runs, bpb_unigram,
+    shard_plan, corpus_split_counts, corpus_doc_cap, corpus_char_budget, corpus_batches, pretoken_counts, pair_counts, bpe_encode, bpe_decode, special_ids,
+    token_bytes, pack_rows, pack_byte_rows, shift_targets, eval_rows, bpb_runs, bpb_unigram,
 )
 
 
@@ -130,9 +141,22 @@ def oracle_sql() -> dict[str, str]:
               (SELECT unnest(range(1, {EPOCHS + 1})) AS e) GROUP BY ALL""",
         "bpe_decode": """SELECT doc_id, CAST(length(text) AS INTEGER) AS n_chars, true AS is_same FROM documents""",
         "special_ids": """SELECT '<|reserved_' || k || '|>' AS token, CAST(n + k AS INTEGER) AS token_id FROM (SELECT count(*) AS n FROM token_bytes WHERE n_bytes > 0), (SELECT unnest(range(4)) AS k)""",
+        # the longest document that fits, else the shortest, of equals the first; groups of fewer than 1,000 documents, whose pool holds all from the start
+        "pack_byte_rows": """WITH RECURSIVE pool AS (
+              SELECT shard_id || '-' || rg_id AS pack_group, list({'n': CAST(strlen(text) + 1 AS INTEGER), 'pos': pos, 'doc': row_id}) AS l FROM shard WHERE text IS NOT NULL GROUP BY ALL),
+            placed AS (
+              SELECT pack_group, l, 2049 AS room, 0 AS row_idx, -1 AS slot, CAST(NULL AS STRUCT(n INTEGER, pos BIGINT, doc BIGINT)) AS p, 0 AS n_taken FROM pool
+              UNION ALL
+              SELECT pack_group, list_filter(l, lambda x: x.pos <> c.pos), CASE WHEN room = least(c.n, room) THEN 2049 ELSE room - c.n END,
+                CASE WHEN full_ THEN row_idx + 1 ELSE row_idx END, CASE WHEN full_ THEN 0 ELSE slot + 1 END, c, least(c.n, room)
+              FROM (SELECT *, slot >= 0 AND room = 2049 AS full_, coalesce(
+                  list_sort(list_transform(list_filter(l, lambda x: x.n <= room), lambda x: {'m': -x.n, 'pos': x.pos, 'c': x}))[1].c,
+                  list_sort(list_transform(l, lambda x: {'m': x.n, 'pos': x.pos, 'c': x}))[1].c) AS c FROM placed WHERE len(l) > 0))
+            SELECT pack_group, row_idx, 1 AS epoch, slot, p.doc AS doc, n_taken, p.n AS n_tokens FROM placed WHERE slot >= 0
+            QUALIFY sum(n_taken) OVER (PARTITION BY pack_group, row_idx) = 2049""",
         "shift_targets": """SELECT run_tag, exp_no, row_idx, string_agg(token_id, ',' ORDER BY pos) FILTER (nxt IS NOT NULL) AS inputs, string_agg(nxt, ',' ORDER BY pos) AS targets
             FROM (SELECT *, lead(token_id) OVER (PARTITION BY run_tag, exp_no, row_idx ORDER BY pos) AS nxt FROM token_loss) GROUP BY ALL""",
-        "eval_rows": """SELECT run_tag, exp_no, row_idx, CAST(row_idx // 4 AS INTEGER) AS step, CAST(count(*) - 1 AS INTEGER) AS n_targets FROM token_loss WHERE row_idx < 8 GROUP BY ALL""",
+        "eval_rows": """SELECT run_tag, exp_no, row_idx, CAST(row_idx // 4 AS INTEGER) AS step, CAST(count(*) - 1 AS INTEGER) AS n_targets FROM token_loss WHERE row_idx < 320 GROUP BY ALL""",
         "bpb_runs": _BPB.format(losses="token_loss"),
         "bpb_unigram": _BPB.format(
             losses="(SELECT run_tag, exp_no, token_id, -ln(c / t) AS nats FROM token_loss JOIN (SELECT token_id, count(*) AS c, sum(count(*)) OVER () AS t FROM token_loss GROUP BY token_id) USING (token_id))"

@@ -56,7 +56,7 @@ STRIP = "regexp_replace(coalesce(description, 'nan'), '^\\s+|\\s+$', '', 'g')"
 
 _SQL = {
     "ledger_normalize": "SELECT * FROM led",
-    "ledger_preview": "SELECT * FROM led WHERE exp_no < 10",
+    "ledger_preview": "SELECT * FROM led QUALIFY row_number() OVER (PARTITION BY run_tag ORDER BY exp_no) <= 10",
     "ledger_outcomes": "SELECT run_tag, status, count(*) AS n FROM led WHERE status IS NOT NULL GROUP BY ALL",
     "ledger_keep_rate": """SELECT run_tag, count(*) AS n_total, count(*) FILTER (status = 'KEEP') AS n_keep, count(*) FILTER (status = 'DISCARD') AS n_discard,
         count(*) FILTER (status = 'CRASH') AS n_crash,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,19 +70,18 @@ def vec_residual(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vec_gather(spark: SparkSession, d: str) -> DataFrame:
-    """The vectors of a table of ids: one for each token of ``token_loss``, by the id's remainder."""
-    tokens = table(spark, d, "token_loss", "run_tag", "exp_no", "row_idx", "pos", "token_id").withColumn("vec_id", (F.col("token_id") % 500).cast("long"))
+    """The vectors of a table of ids: one for each token of ``token_loss``, by the id's remainder by the number of vectors."""
     wanted = table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    n = table(spark, d, "embeddings", "vec_id").agg(F.count(F.lit(1))).scalar()
+    tokens = table(spark, d, "token_loss", "run_tag", "exp_no", "row_idx", "pos", "token_id").withColumn("vec_id", F.col("token_id") % n)
     return tokens.join(wanted, "vec_id").select("run_tag", "exp_no", "row_idx", "pos", "vec_id", "label", F.size("embedding").alias("n"))
 
 
 def vec_linear(spark: SparkSession, d: str) -> DataFrame:
     """A fixed matrix of four rows: w = cos(row + col)."""
-    n = 64
-    w = spark.range(4 * n).select((F.col("id") % n).cast("int").alias("col"), F.floor(F.col("id") / n).cast("int").alias("row"))
-    w = w.withColumn("w", F.cos((F.col("row") + F.col("col")).cast("double")))
+    w = [[math.cos(row + col) for col in range(64)] for row in range(4)]
     v = table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", vec.doubles(F.col("embedding")).alias("v"))
-    return vec.linear(v, w).withColumn("y", F.round("y", 5) + F.lit(0.0))
+    return v.select("vec_id", F.posexplode(vec.linear(F.col("v"), w)).alias("row", "y")).withColumn("y", F.round("y", 5) + F.lit(0.0))
 
 
 QUERIES = (model_config, model_windows, model_params, model_shapes, model_flops, vec_rms_norm, vec_rotary, vec_relu2, vec_gate, vec_softcap, vec_residual, vec_gather, vec_linear)
@@ -128,6 +128,6 @@ def oracle_sql() -> dict[str, str]:
         "vec_gate": _each("2 / (1 + exp(-x))"),
         "vec_softcap": _each("15 * tanh(x / 15)"),
         "vec_residual": _each("0.9e0 * pow(greatest(x, 0), 2) + 0.1e0 * x"),
-        "vec_gather": "SELECT run_tag, exp_no, row_idx, pos, vec_id, label, CAST(len(embedding) AS INTEGER) AS n FROM token_loss JOIN embeddings ON vec_id = token_id % 500",
+        "vec_gather": "SELECT run_tag, exp_no, row_idx, pos, vec_id, label, CAST(len(embedding) AS INTEGER) AS n FROM token_loss JOIN embeddings ON vec_id = token_id % (SELECT count(*) FROM embeddings)",
         "vec_linear": VEC + "SELECT vec_id, CAST(r AS INTEGER) AS row, round(sum(x * cos(r + i)), 5) + 0.0e0 AS y FROM e, (SELECT unnest(range(4)) AS r) WHERE i < 64 GROUP BY vec_id, r",
     }

@@ -47,3 +47,20 @@ def running(df: DataFrame, keys: list[str], order: str, values: dict[str, tuple[
             both = F.coalesce(mine, past_value)
         result.append(both.alias(n))
     return joined.select(*(F.col(f"o.{c}") for c in df.columns), *result)
+
+
+def ranked(df: DataFrame, keys: list[str], by: str, order: list[Column], name: str, parts: int = 64) -> DataFrame:
+    """``df`` with the place of each row within its key, from 1, by descending ``by`` (nulls last) as ``order`` has it.
+
+    A key's rows are cut at quantiles of ``by`` into parts that are ranked for themselves, and the
+    sizes of the parts before are added; equal values are in one part.
+    """
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(by, [k / parts for k in range(1, parts)]).alias("_cuts"))
+    above = F.size(F.filter("_cuts", lambda c: c > F.col(f"d.{by}")))
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
+    cut = df.alias("d").join(cuts.alias("c"), same).select("d.*", F.when(F.col(f"d.{by}").isNull(), parts).otherwise(F.coalesce(above, F.lit(0))).alias("_part"))
+    own = cut.withColumn("_own", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    past = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n")).withColumn("_past", F.coalesce(F.sum("_n").over(past), F.lit(0)))
+    joined = own.alias("o").join(sizes.alias("s"), [F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_part"]])
+    return joined.select(*(F.col(f"o.{c}") for c in df.columns), (F.col("_own") + F.col("_past")).alias(name))

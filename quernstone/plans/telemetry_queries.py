@@ -18,7 +18,7 @@ def _steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def telemetry_schedules(spark: SparkSession, d: str) -> DataFrame:
-    return telemetry.schedules(_steps(spark, d), spark.createDataFrame(GROUPS, "kind string, initial_lr double"))
+    return telemetry.schedules(_steps(spark, d), GROUPS)
 
 
 def telemetry_ema(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +75,7 @@ timed AS (
 live AS (
   SELECT *, least(sb / 300e0, 1e0) AS p FROM (SELECT *, coalesce(max(CASE WHEN step >= 10 AND s >= 300 THEN 1 ELSE 0 END)
     OVER (PARTITION BY run_tag, exp_no ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS over FROM timed) WHERE over = 0),
-sched AS (SELECT *, CASE WHEN pr < 0.5 THEN 1e0 ELSE (1 - pr) / 0.5e0 END AS lrm FROM (SELECT *, round(p, 6) AS pr FROM live))
+sched AS (SELECT *, CASE WHEN p < 0.5e0 THEN 1e0 ELSE (1e0 - p) / 0.5e0 END AS lrm FROM live)
 """
 _NUM = "CASE WHEN regexp_full_match(trim(metric_value), '[+-]?([0-9]+(\\.[0-9]*)?|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(trim(metric_value) AS DOUBLE) END"
 _SUMMARY = "SELECT run_tag, exp_no, " + ", ".join(f"max(CASE WHEN metric_name = '{k}' THEN {_NUM} END) AS {k}" for k in telemetry.SUMMARY_KEYS) + " FROM run_summary GROUP BY run_tag, exp_no"
@@ -87,7 +87,7 @@ def oracle_sql() -> dict[str, str]:
         "telemetry_schedules": STEPS + f"""SELECT run_tag, exp_no, step, kind, round(lrm, 6) AS lrm,
             round(initial_lr * CASE WHEN kind = 'muon' THEN 1e0 ELSE pow(512e0 / 768e0, -0.5e0) END * lrm, 8) AS lr,
             round(CASE WHEN kind = 'muon' THEN (1 - least(step / 300e0, 1e0)) * 0.85e0 + least(step / 300e0, 1e0) * 0.95e0 END, 6) AS momentum,
-            round(CASE WHEN kind = 'muon' THEN 0.2e0 * (1 - pr) END, 6) AS weight_decay FROM sched, (VALUES {groups}) g(kind, initial_lr)""",
+            round(CASE WHEN kind = 'muon' THEN 0.2e0 * (1e0 - p) END, 6) AS weight_decay FROM sched, (VALUES {groups}) g(kind, initial_lr)""",
         "telemetry_ema": STEPS + """SELECT run_tag, exp_no, step, round(sum(0.1e0 * loss * pow(0.9e0, -n)) OVER w * pow(0.9e0, n) / (1 - pow(0.9e0, n + 1)), 6) AS loss_ema
             FROM (SELECT *, row_number() OVER (PARTITION BY run_tag, exp_no ORDER BY step) - 1 AS n FROM t WHERE loss IS NOT NULL AND NOT isnan(loss))
             WINDOW w AS (PARTITION BY run_tag, exp_no ORDER BY step ROWS UNBOUNDED PRECEDING)""",
@@ -98,8 +98,8 @@ def oracle_sql() -> dict[str, str]:
             round(coalesce(sum(dt) FILTER (step > 10), 0), 4) AS training_seconds,
             round(100 * {telemetry.FLOPS_PER_TOKEN}e0 * 524288 * (CASE WHEN sum(dt) FILTER (step > 10) <> 0 THEN (count(*) - 10) / sum(dt) FILTER (step > 10) END) / 989.5e12, 4) AS steady_mfu,
             arg_max_null(CASE WHEN NOT isnan(loss) THEN loss END, step) AS last_loss FROM t GROUP BY run_tag, exp_no""",
-        "telemetry_fail_fast": STEPS + """SELECT run_tag, exp_no, min(step) FILTER (isnan(loss) OR loss > 100) AS fail_step, count(*) AS n_steps,
-            min(step) FILTER (isnan(loss) OR loss > 100) IS NOT NULL AS failed FROM t GROUP BY run_tag, exp_no""",
+        "telemetry_fail_fast": STEPS + """SELECT run_tag, exp_no, min(bad) AS fail_step, count(*) FILTER (bad IS NULL OR step < bad) AS n_steps, min(bad) IS NOT NULL AS failed
+            FROM t LEFT JOIN (SELECT run_tag, exp_no, min(step) AS bad FROM t WHERE isnan(loss) OR loss > 100 GROUP BY ALL) USING (run_tag, exp_no) GROUP BY run_tag, exp_no""",
         "run_timeout": f"SELECT run_tag, exp_no, total_seconds, round(total_seconds - training_seconds, 4) AS other_seconds, total_seconds > 600 AS timed_out FROM ({_SUMMARY})",
         "log_summary_parse": f"SELECT * FROM ({_SUMMARY})",
         "ledger_from_logs": f"""WITH one AS (SELECT run_tag, exp_no, commit_hash FROM ledger

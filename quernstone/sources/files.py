@@ -15,6 +15,14 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(name.cast("int").alias("shard_id"), "text")
 
 
+def require_shards(spark: SparkSession, folder: str, least: int = 2) -> int:
+    """How many shards the folder has; fewer than ``least``, one to train on and one to validate with, are an error."""
+    n = len({f.rsplit("/", 1)[1] for f in spark.read.option("pathGlobFilter", "shard_*.parquet").schema("text string").parquet(folder).inputFiles()})
+    if n < least:
+        raise ValueError(f"{folder} has {n} shards, {least} are needed")
+    return n
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """A tab-separated ledger with its header; quotation marks are text like any other."""
     return spark.read.options(sep="\t", header=True, quote="").schema(LEDGER_SCHEMA).csv(path)

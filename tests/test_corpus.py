@@ -42,6 +42,20 @@ def test_char_budget_is_the_reader(docs, budget):
     assert sorted(r.row_id for r in corpus.char_budget(docs, budget, cap=50).collect()) == sorted(taken)
 
 
+def test_shards_behind_the_budget_are_not_read(docs, monkeypatch):
+    seen, write = [], corpus.written
+
+    def watching(df):
+        out = write(df)
+        seen.append({r.shard_id for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(corpus, "written", watching)
+    taken = corpus.char_budget(docs, 30, cap=50, at_once=1)
+    assert seen == [{0}] and {r.shard_id for r in taken.collect()} == {0}
+    assert corpus.char_budget(docs.where("false"), 30).collect() == []
+
+
 def test_batches_stay_in_row_groups(docs):
     got = corpus.batches(docs, epochs=2, size=2).collect()
     assert {r.epoch for r in got} == {1, 2} and sum(r.n_docs for r in got) == 2 * 59 and max(r.n_docs for r in got) == 2
@@ -55,6 +69,18 @@ def test_pretokens_of_whole_texts_are_counted(spark):
     assert sum(len(p) * n for p, n in cut.items()) == 10_003
 
 
+def test_pairs_within_pieces_are_counted(spark):
+    counts = spark.createDataFrame([("aab", 3), ("ab", 2), ("x", 9), ("\u00e9", 1), ("", 4)], "pretoken string, n long")
+    assert {(r.left, r.right): r.n for r in tok.pair_counts(counts).collect()} == {("61", "61"): 3, ("61", "62"): 5, ("c3", "a9"): 1}
+
+
+def test_only_text_is_encoded(spark):
+    from pyspark.errors import PythonException
+
+    with pytest.raises(PythonException, match="only text"):
+        spark.createDataFrame([(1,)], "t int").select(tok.bpe_encode(F.col("t"))).collect()
+
+
 def test_pretokens_lose_nothing_and_agree(spark):
     df = spark.createDataFrame([(t,) for t in TEXTS], "t string")
     pattern = regex.compile(tok.SPLIT_PATTERN)
@@ -97,11 +123,38 @@ def test_best_fit_contract(sizes, row, buffer):
         assert all(t == n for _, t, n in r[:-1])
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=60), st.integers(1, 30), st.integers(1, 12))
+def test_each_placement_is_the_best_of_the_pool(sizes, row, buffer):
+    items = [(k, n) for k, n in enumerate(sizes)]
+    batches = [items[k : k + 3] for k in range(0, len(items), 3)]
+    placed = [p for r in packing.best_fit(batches, row, buffer) for p in r]
+    waiting, room = {}, row
+    for key, taken, n in placed:
+        while len(waiting) < buffer and batches:
+            waiting |= dict(batches.pop(0))
+        fitting = [(x, -k) for k, x in waiting.items() if x <= room]
+        want = -max(fitting)[1] if fitting else min((x, k) for k, x in waiting.items())[1]
+        assert key == want and n == waiting.pop(key) and taken == min(n, room)
+        room = room - taken or row
+
+
 def test_best_fit_ties_and_crops():
     assert list(packing.best_fit([[("a", 3), ("b", 5), ("c", 5), ("d", 2)]], 8, 4))[0] == [("b", 5, 5), ("a", 3, 3)]
     assert list(packing.best_fit([[("a", 9), ("b", 9)]], 4, 2)) == [[("a", 4, 9)], [("b", 4, 9)]]
 
 
+def test_one_group_is_one_pool(spark):
+    sizes = [7, 3, 12, 5, 5, 9, 2, 8, 1, 4, 6, 11, 3, 2, 10, 5]
+    docs = spark.createDataFrame([("all", i, i, n) for i, n in enumerate(sizes)], "pack_group string, pos int, doc long, n_tokens int").repartition(4)
+    got = sorted((r.row_idx, r.slot, r.doc, r.n_taken) for r in packing.pack_rows(docs, row_tokens=12).collect())
+    # worked out by hand: 12 | 11 + 1 | 10 + 2 | 9 + 3 | 8 + 4 | 7 + 5 | 6 + 5 and one of the 2 left over | 5 + 3, then nothing
+    assert got == [
+        (0, 0, 2, 12), (1, 0, 11, 11), (1, 1, 8, 1), (2, 0, 14, 10), (2, 1, 6, 2), (3, 0, 5, 9), (3, 1, 1, 3), (4, 0, 7, 8), (4, 1, 9, 4),
+        (5, 0, 0, 7), (5, 1, 3, 5), (6, 0, 10, 6), (6, 1, 4, 5), (6, 2, 13, 1),
+    ]
+
+
 def test_packed_rows_tell_the_epoch_of_the_last_refill(spark):
     docs = spark.createDataFrame([("g", i, f"d{i}", 5) for i in range(4)], "pack_group string, pos int, doc string, n_tokens int")
     rows = packing.pack_rows(docs, row_tokens=10, buffer_size=2, epochs=2).collect()
@@ -130,6 +183,9 @@ def test_shards_and_ledger_files(spark, tmp_path):
     (tmp_path / "c").mkdir()
     next((tmp_path / "w").glob("part*")).rename(tmp_path / "c" / "shard_00042.parquet")
     assert [tuple(r) for r in files.read_shards(spark, str(tmp_path / "c")).collect()] == [(42, "t")]
+    assert files.require_shards(spark, str(tmp_path / "c"), least=1) == 1
+    with pytest.raises(ValueError):
+        files.require_shards(spark, str(tmp_path / "c"))
     rows = spark.createDataFrame([("abc", "1.0", "2", "keep", 'say "hi"')], files.LEDGER_SCHEMA)
     files.append_ledger(rows, str(tmp_path / "l"))
     files.append_ledger(rows, str(tmp_path / "l"))

@@ -2,9 +2,11 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from quernstone.operators import ledger
-from quernstone.plans.running import running
+from quernstone.plans.running import ranked, running
 
 SCHEMA = "run_tag string, exp_no long, commit_hash string, val_bpb string, memory_gb string, status string, description string, logged_at timestamp"
 
@@ -118,3 +120,20 @@ def test_running_over_blocks_is_a_plain_window(spark):
     to, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     want = df.select("*", F.min("v").over(to).alias("mn"), F.sum("v").over(before).alias("sm"), F.last("v", True).over(to).alias("la"))
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_preview_takes_the_first_rows_whatever_their_numbers(spark):
+    rows = [("t", 3 * n, "c", "1", "1", "keep", "d") for n in range(15)]
+    assert sorted(r.exp_no for r in ledger.preview(ledger.normalize(make(spark, rows))).collect()) == [3 * n for n in range(10)]
+
+
+@pytest.mark.parametrize("parts", [1, 4, 64])
+def test_ranks_are_those_of_one_window(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "a", "b", None]), n, rng.choice([None, 0.0, 1.0, float(n % 7), rng.random()])) for n in range(400)]
+    df = spark.createDataFrame(rows, "k string, n int, v double").repartition(3)
+    order = [F.desc_nulls_last("v"), F.asc("n")]
+    want = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(*order)))
+    got = ranked(df, ["k"], "v", order, "r", parts)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.columns == want.columns
+    assert ranked(df.where("false"), ["k"], "v", order, "r", parts).collect() == []

@@ -46,6 +46,29 @@ def test_smoothed_loss_is_the_fold(spark):
     assert got == pytest.approx(want)
 
 
+def test_smoothed_loss_over_blocks_of_a_long_run(spark, monkeypatch):
+    monkeypatch.setattr(tel, "EMA_BLOCK", 400)
+    xs = [1.0 + (7 * i % 13) / 5 for i in range(1700)]
+    got = [r.loss_ema for r in tel.smoothed_loss(spark.createDataFrame([("r", 0, i, x, 1.0) for i, x in enumerate(xs)], RUN)).orderBy("step").collect()]
+    s, want = 0.0, []
+    for t, x in enumerate(xs):
+        s = 0.9 * s + 0.1 * x
+        want.append(s / (1 - 0.9 ** (t + 1)))
+    assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_schedules_round_last(spark):
+    df = spark.createDataFrame([("r", 0, i, 1.0, 7.1234567) for i in range(40)], RUN)
+    got = {r.step: r for r in tel.schedules(df, [("muon", 0.04)]).collect()}
+    p = 7.1234567 * 24 / 300
+    assert got[35].lrm == round((1 - p) / 0.5, 6) and got[35].lr == round(0.04 * (1 - p) / 0.5, 8) and got[35].weight_decay == round(0.2 * (1 - p), 6)
+
+
+def test_fail_fast_counts_the_steps_before(spark):
+    df = spark.createDataFrame([("a", 0, i, 1.0 if i < 7 else 500.0, 1.0) for i in range(12)] + [("b", 0, i, 1.0, 1.0) for i in range(4)], RUN)
+    assert {r.run_tag: (r.fail_step, r.n_steps, r.failed) for r in tel.fail_fast(df).collect()} == {"a": (7, 7, True), "b": (None, 4, False)}
+
+
 def test_fail_fast_and_totals(spark):
     df = spark.createDataFrame([("a", 0, 0, 1.0, 1.0), ("a", 0, 1, float("nan"), 1.0), ("b", 0, 0, 101.0, None), ("c", 0, 0, None, 1.0)], RUN)
     assert {r.run_tag: r.fail_step for r in tel.fail_fast(df).collect()} == {"a": 1, "b": 0, "c": None}
