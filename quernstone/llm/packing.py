@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from quernstone.llm.bpe import SPLIT, VOCABULARY, read_ranks
 from quernstone.plans.durable import spread, written
 
-#: Parts into which each length is split while ranks are counted.
-SALTS = 32
+#: About so many sequences of one length are ranked by one task, and so many places looked up together.
+PART, BLOCK = 20_000, 4096
 
 
 @lru_cache(maxsize=2)
@@ -103,10 +103,15 @@ def packed(df: DataFrame, id_col: str, split_col: str, text: str, capacity: int
     lengths = sequence_lengths(df, id_col, split_col, text, vocabulary)
     items = lengths.select("id", "split", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / capacity).cast("int"))).alias("piece"))
     items = items.select("id", "split", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("n") - F.col("piece") * capacity).cast("int").alias("length"))
-    items = written(items.withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(SALTS)).cast("int")))
+    items = written(items)
+    histogram = written(items.groupBy("split", "length").agg(F.count(F.lit(1)).alias("n")))  # at most ``capacity`` rows of a split
+    same = lambda a, b, *on: [a[c].eqNullSafe(b[c]) for c in on]
+    wide = histogram.withColumn("parts", F.ceil(F.col("n") / PART)).where("parts > 1").select("split", "length", "parts")
+    part = F.pmod(F.xxhash64("id", "piece"), F.coalesce("parts", F.lit(1)))
+    items = items.join(F.broadcast(wide), same(items, wide, "split", "length"), "left").select("id", items["split"], "piece", "start", items["length"], part.alias("part"))
 
-    parts = items.groupBy("split", "length", "salt").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("split", "length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = items.groupBy("split", "length", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("split", "length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
     def planned(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -116,16 +121,17 @@ def packed(df: DataFrame, id_col: str, split_col: str, text: str, capacity: int
         return out
 
     kind = items.schema["split"].dataType.simpleString()
-    histogram = parts.groupBy("split", "length").agg(F.sum("n").alias("n"))  # at most ``capacity`` rows of a split
     steps = histogram.groupBy("split").applyInPandas(planned, f"split {kind}, length int, lo long, hi long, in_row long, first_row long")
+    # each block of ranks knows the steps that reach into it, so a rank meets no others
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    steps = steps.where("hi > lo").withColumn("block", F.explode(F.sequence(block("lo"), F.floor((F.col("hi") - 1) / BLOCK))))
 
-    within = Window.partitionBy("split", "length", "salt").orderBy("id", "piece")
-    same = lambda a, b, *on: [a[c].eqNullSafe(b[c]) for c in on]
+    within = Window.partitionBy("split", "length", "part").orderBy("id", "piece")
     ranked = items.withColumn("rn", F.row_number().over(within) - 1)
-    ranked = ranked.join(offsets, same(ranked, offsets, "split", "length", "salt")).select(
+    ranked = ranked.join(offsets, same(ranked, offsets, "split", "length", "part")).select(
         "id", ranked["split"], "piece", "start", ranked["length"], (F.col("rn") + F.col("offset")).alias("rank")
-    )
-    placed = ranked.join(steps, [*same(ranked, steps, "split", "length"), F.col("rank") >= F.col("lo"), F.col("rank") < F.col("hi")]).select(
+    ).withColumn("block", block("rank"))
+    placed = ranked.join(steps, [*same(ranked, steps, "split", "length", "block"), F.col("rank") >= F.col("lo"), F.col("rank") < F.col("hi")]).select(
         ranked["split"], (F.col("first_row") + F.floor((F.col("rank") - F.col("lo")) / F.col("in_row"))).alias("row_no"), "id", "piece", "start", ranked["length"]
     )
     record = F.struct(F.col("id").alias(id_col), "piece", "start", "length")

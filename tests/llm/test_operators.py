@@ -137,6 +137,20 @@ def test_plan_places_each_once_within_capacity(lengths):
     assert len(rows) <= max(-(-sum(lengths) // 50), 1) * 1.3 + 2
 
 
+def test_one_length_may_hold_nearly_all_items(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 50)
+    monkeypatch.setattr(packing, "BLOCK", 16)
+    rng = random.Random(11)
+    rows = [(i, "train", "a") for i in range(900)] + [(1000 + i, rng.choice(["train", "val", None]), " a" * rng.randint(0, 70)) for i in range(100)]
+    got = packing.packed(spark.createDataFrame(rows, "row_id long, split string, text string").repartition(3), "row_id", "split", "text", capacity=10).collect()
+    assert all(r.used <= 10 and r.used + r.unused == 10 and r.used == sum(x.length for x in r.records) and r.n_records == len(r.records) for r in got)
+    pieces_of = Counter((x.row_id, x.piece) for r in got for x in r.records)
+    assert set(pieces_of.values()) == {1} and {i for i, _ in pieces_of} == {i for i, _, _ in rows}
+    for split in ("train", "val", None):
+        own = [r for r in got if r.split == split]
+        assert sorted(r.row_no for r in own) == list(range(len(own))) and len(own) <= -(-sum(r.used for r in own) // 10) + 2
+
+
 # 4 and 5: overlaps and near-duplicates against brute force
 @pytest.fixture(scope="module")
 def similar(spark):
