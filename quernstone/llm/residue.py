@@ -1,7 +1,7 @@
 """Template residue, filler, error pages and notices that scripts are required.
 
-Records that are such text beyond doubt, by a few patterns, are trusted; places to be filled
-in count as trusted passages of their own.  A naive Bayes model of passages is learned from
+Short records that match one of a few patterns are trusted to be such text, so are places to be
+filled in that are marked in the commonest way.  A naive Bayes model of passages is learned from
 them and from unlabelled records by expectation-maximization, so that it knows the other
 things that error pages and filler say.  Then every passage of every record is scored, and
 a record is residue if one of its passages is.  Quotations and code are not looked at.
@@ -20,11 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.residue_core import DIGITS, FEATURE_BITS, SLOT, Model, chances, counted, features, fit, passages, trusted, weighty
+from quernstone.llm.residue_core import DIGITS, FEATURE_BITS, SEED_SLOT, SLOT, Model, chances, counted, features, fit, passages, trusted, weighty
 from quernstone.plans.durable import spread, written
 
-SAMPLE_SLOT = "{{ summary }}"
-
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Forms of passages, whether their record is trusted, and how many there are."""
@@ -39,7 +37,7 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(1).to_pylist():
             if t:
                 known = trusted(t)
-                forms.update((DIGITS.sub("0", p), known) for p in passages(t))  # numbers are all alike
+                forms.update((DIGITS.sub("0", p), known or bool(SEED_SLOT.fullmatch(p))) for p in passages(t))  # numbers are all alike
             if len(forms) > 100_000:
                 yield flush()
     yield flush()
@@ -92,8 +90,6 @@ def learn(rows: DataFrame) -> Model:
     forms = written(raw.groupBy("form", "known").agg(F.sum("n").alias("n")).mapInArrow(_featured, "known boolean, n long, f array<int>"))
     pos, n_pos, _ = _weighted(forms.where("known"))
     total, n_total, _ = _weighted(forms.where("not known"))
-    slot = features(SAMPLE_SLOT)
-    pos += 20 * counted(slot, np.array([len(slot)]), np.ones(1))
 
     def guess(odds: np.ndarray, prior: float, margin: float, before: tuple | None) -> tuple[np.ndarray, float, float]:
         model = context.broadcast(((odds, prior, margin), before))

@@ -24,21 +24,23 @@ LINES = re.compile(r"[\n\r]+")
 DIGITS = re.compile(r"\d+")
 SENTENCE = re.compile(r"(?<=[.!?。])\s+")
 LONG_LINE = 240
-#: A record no longer than this that matches one of these is trusted to be nothing but residue.
+#: A record no longer than this that matches one of these is trusted to be nothing but residue: a short
+#: seed of what such pages say; the rest is for the model to find.
 TRUSTED_CHARS = 320
 TRUSTED = re.compile(
     # error pages
-    r"(?im)^(?:(?:http/\d(?:\.\d)?|error|status)[ :]*)?[45]\d\d\b.{0,3}(?:not found|forbidden|internal server|bad gateway|service unavailable|gateway|too many|unauthorized)"
-    r"|^(?:error|status) [45]\d\d\b|^not found \(?404|^access denied|^rate limit exceeded|went wrong while loading|^page (?:not found|introuvable)|^seite nicht gefunden|^página no encontrada"
-    r"|^(?:database )?connection failed|\b(?:down|closed) for maintenance\b|^this page isn['’]t available|\blink you followed may be broken"
+    r"(?im)^(?:(?:http/\d(?:\.\d)?|error|status)[ :]*)?[45]\d\d\b.{0,3}(?:not found|forbidden|internal server|bad gateway|service unavailable|too many)"
+    r"|\b(?:page|seite|note|report|site|link)\b.{0,30}\b(?:not found|nicht gefunden|introuvable|isn['’]t available|cannot be shown|failed to load)\b"
+    r"|\b(?:connection failed|servers are busy|access denied|down for maintenance|rate limit exceeded)\b"
     # notices that scripts are required
-    r"|\b(?:enable|activate|allow|turn on|switch on|activer|aktivier\w*|activ[ae]r?|attiva\w*|ative|włącz\w*)\b.{0,20}\b(?:javascript|js)\b|\ballow scripts\b|\brequires scripts\b"
-    r"|\bjavascript\b.{0,20}\b(?:disabled|required|off|disattivato|deaktiviert|désactivé|desactivado|desativado|enabled)\b|\b(?:js off|turn js on|switch on js)\b|^noscript\b"
-    r"|\byour browser (?:blocks|does not support|has disabled)\b|^checking your browser|\b(?:browser|works) (?:with|only with) (?:active )?scripting\b"
-    # filler and what is still to be written
-    r"|^lorem ipsum|^\s*[\[(]?(?:draft\b.{0,4})?(?:no text yet|to be (?:filled in|written|added|done))\b|\bto be added\.?$|^\s*(?:todo|tbd)(?:[:.]|$)|^(?:write|type|enter|describe)\b.{0,60}\b(?:here|in this (?:box|field|space))\b|\bis coming soon\b|^this is a (?:dummy|sample|placeholder)\b"
-    r"|^title of the \w+$|\b(?:your \w+|text goes|content|copy goes) here\.|^([^.\n]{4,40}\.)(?: \1){2,}|^(?:(?:asdf|foo|bar|baz|bla|blah|test|xxx)\b ?){4}"
+    r"|\b(?:javascript|scripts|scripting|client-side code)\b.{0,30}\b(?:on|off|enabled|disabled|required)\b|\b(?:enable|allow|active|switch on|turn on)\b.{0,30}\b(?:javascript|js|scripts|scripting)\b"
+    r"|\b\w*(?:a[ck]?ti[vw]|attiv)\w*\b.{0,30}\bjavascript\b|\bjavascript\b.{0,30}\b\w*(?:a[ck]?ti[vw]|attiv)\w*\b"
+    # filler, the same said four times, and what is still to be written
+    r"|^lorem ipsum|\b(\w[^\n]{1,40}?)(?:[ .]+\1){3,}|^\W*(?:todo|tbd)(?:[:.]|$)|\bto be (?:filled in|written|added)\b|\b(?:no text yet|coming soon)\b"
+    r"|^(?:write|type|enter)\b.{0,60}\b(?:here|in this (?:box|field|space))\b|^title of the \w+$|\b(?:text|content) goes here\b|^this is a (?:dummy|sample|placeholder)\b"
 )
+#: The commonest way of marking a place to be filled in is trusted wherever it stands.
+SEED_SLOT = re.compile(rf"\{{\{{[ ]?{_NAME}[ ]?\}}\}}")
 
 
 #: Without one of these there is no place to be filled in.
@@ -72,13 +74,21 @@ def _words(passage: str) -> list[str]:
     return ["0" if w.isdigit() else w for w in WORD.findall(p.lower())]
 
 
-def _word_features(w: str) -> list[int]:
-    """A word and its letter triples."""
-    out = [_hashed("w" + w)]
-    if len(w) > 4 and w != "qslotq" and not w.isdigit():
-        x = f"<{w}>"
-        out += [_hashed("t" + x[k : k + 3], True) for k in range(0, len(x) - 2, 2)]
-    return out
+class _WordFeatures(dict):
+    """The features of words, a word and its letter triples, of which a bounded number is kept."""
+
+    def __missing__(self, w: str) -> list[int]:
+        if len(self) > 300_000:
+            self.clear()
+        out = [_hashed("w" + w)]
+        if len(w) > 4 and w != "qslotq" and not w.isdigit():
+            x = f"<{w}>"
+            out += [_hashed("t" + x[k : k + 3], True) for k in range(0, len(x) - 2, 2)]
+        self[w] = out
+        return out
+
+
+_OF_WORD = _WordFeatures()
 
 
 def _marks(words: list[str]) -> list[int]:
@@ -91,7 +101,7 @@ def features(passage: str) -> np.ndarray:
     words = _words(passage)
     if not words:
         return np.zeros(0, np.int32)
-    out = [f for w in words for f in _word_features(w)]
+    out = [f for w in words for f in _OF_WORD[w]]
     out += [_hashed(f"b{a} {b}") for a, b in zip(["^", *words], [*words, "$"])]
     return np.array(out + _marks(words), np.int32)
 
@@ -127,7 +137,7 @@ class Model:
         for w in words:
             own = self.by_word.get(w)
             if own is None:
-                f = _word_features(w)
+                f = _OF_WORD[w]
                 own = self.by_word[w] = (float(self.odds[f].sum()), len(f))
             total += own[0]
             n += own[1]
@@ -143,14 +153,19 @@ class Model:
 
 
 def chances(f: np.ndarray, sizes: np.ndarray, odds: np.ndarray, prior: float, margin: float) -> np.ndarray:
-    """How probably each passage is residue beyond ``margin``; ``f`` holds their features, ``sizes`` how many each has."""
-    at = np.repeat(np.arange(len(sizes)), sizes)
-    damp = np.minimum(1.0, 14 / np.maximum(1, sizes)) ** 0.5
-    return 1 / (1 + np.exp(-np.clip(np.bincount(at, odds[f], len(sizes)) * damp + prior - margin, -50, 50)))
+    """How probably each passage is residue beyond ``margin``; ``f`` holds their features, ``sizes`` how many each has, one at least."""
+    if not len(sizes):
+        return np.zeros(0)
+    sums = np.add.reduceat(odds[f], np.cumsum(sizes) - sizes, dtype=np.float64)
+    damp = np.minimum(1.0, 14 / sizes) ** 0.5
+    return 1 / (1 + np.exp(-np.clip(sums * damp + prior - margin, -50, 50)))
 
 
 def counted(f: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """How often each feature occurs, each passage counting its weight."""
+    some = weights > 0
+    if not some.all():
+        f, sizes, weights = f[np.repeat(some, sizes)], sizes[some], weights[some]
     return np.bincount(f, np.repeat(weights, sizes), 2 << FEATURE_BITS)
 
 
