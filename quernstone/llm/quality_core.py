@@ -6,8 +6,14 @@ beyond ASCII count as letters, so that a wrongly decoded text looks like what it
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
+#: What a unit that isn't prose may be, and what votes on it; a voter without an opinion abstains.
+TYPES = ("table", "list", "junk")
+TYPE_VOTERS = ("separators", "shape", "words", "digits")
+ABSTAIN = len(TYPES)
 UNIT_CHARS = 160
 WORD_BITS = 20
 #: Digits, symbols and separators go together, so they have one vote: the model takes votes as
@@ -33,6 +39,25 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
 
 
+#: A text is said over and over if it has so many word triples at least, and so few different ones.
+LEAST_TRIPLES, MOST_DISTINCT = 12, 40
+
+
+def said_over(batches: Iterator[Batch]) -> bool:
+    """What ``Batch`` finds for a text in one batch, for one that comes in several, one after the other."""
+    distinct: set[int] = set()
+    total, last = 0, np.zeros(0, np.uint64)
+    for b in batches:
+        h = np.concatenate([last, b.word_hash])
+        with np.errstate(over="ignore"):
+            t = (h[:-2] * np.uint64(3) + h[1:-1]) * np.uint64(5) + h[2:]
+        total, last = total + len(t), h[-2:]
+        distinct.update(np.unique(t).tolist())
+        if len(distinct) > MOST_DISTINCT:
+            return False
+    return total >= LEAST_TRIPLES and len(distinct) * 3 <= total
+
+
 class Batch:
     """The units of a batch of texts and their statistics.
 
@@ -131,7 +156,14 @@ class Batch:
             plain = wide_in[np.minimum(token_start + 28, len(b))] - wide_in[token_start] < 4
             self.long[unit_of[np.minimum(token_start[plain], len(b) - 1)]] = True
         self.word_doc = self.doc[self.word_unit]
-        self.unit_repeats = self._repeats()[self.doc]
+        self.repeats = self._repeats()
+        self.unit_repeats = self.repeats[self.doc]
+
+    def judge_repeats(self, known: dict[int, bool]) -> None:
+        """Takes the verdict on some texts, of which these are but pieces, from elsewhere."""
+        if known:
+            self.repeats = np.array([known.get(k, r) for k, r in enumerate(self.repeats.tolist())], bool)
+            self.unit_repeats = self.repeats[self.doc]
 
     def _repeats(self) -> np.ndarray:
         """Texts of few word triples, said three times over on average."""
@@ -147,7 +179,7 @@ class Batch:
         t, d = t[order], d[order]
         first = np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])]) if len(t) else np.zeros(0, bool)
         total, distinct = np.bincount(d, minlength=self.n_texts), np.bincount(d, first, self.n_texts)
-        return (total >= 12) & (distinct * 3 <= total) & (distinct <= 40)
+        return (total >= LEAST_TRIPLES) & (distinct * 3 <= total) & (distinct <= MOST_DISTINCT)
 
     def seeds(self) -> np.ndarray:
         """A sure guess for each unit by form alone: prose, listed or neither."""
@@ -180,8 +212,23 @@ class Batch:
         over = self.unit_repeats[:, None] & (np.arange(len(VOTERS)) != VOTERS.index("repeats"))
         return np.where(over & (out == PROSE), NONE, out).astype(np.int8)
 
-    def per_text(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.doc, values, self.n_texts)
+    def type_votes(self, weights: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """A row for each unit, a column for each of ``TYPE_VOTERS``: a type's number, or ``ABSTAIN``."""
+        table, listed, junk = range(len(TYPES))
+        per_part = self.spoken / self.lines
+        short = (self.lines > 1) & (per_part <= 6)
+        n_known = np.bincount(self.word_unit, known[self.word_slot], self.n)
+        strange = (self.words == 0) | (n_known * 2 < self.words) | self.long | self.unit_repeats
+        first = lambda *cases: np.select([c for c, _ in cases], [t for _, t in cases], ABSTAIN)
+        return np.stack(
+            [
+                first((self.separators > 0.6, table), (self.separators > 0.15, listed), (~short, junk)),
+                first((short & (self.symbols < 0.2), listed), ((self.lines > 1) & (self.digits > 0.2), table), (self.lines == 1, junk)),
+                first((strange, junk), (n_known * 4 >= self.words * 3, listed)),
+                first((self.digits > 0.25, table), (self.digits < 0.02, listed)),
+            ],
+            axis=1,
+        )
 
 
 def pattern(votes: np.ndarray) -> np.ndarray:
@@ -191,6 +238,35 @@ def pattern(votes: np.ndarray) -> np.ndarray:
     return out
 
 
+def type_pattern(votes: np.ndarray) -> np.ndarray:
+    return votes @ (len(TYPES) + 1) ** np.arange(votes.shape[1])
+
+
+def type_posteriors(counts: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """The posterior of each type for each pattern of type votes, from how many units show each pattern.
+
+    Expectation-maximization as for prose, over three classes: every voter has its own chances of every vote
+    and of abstaining in each class.  It starts from the votes cast; the last bit of prior keeps patterns that no
+    unit shows at even chances.
+    """
+    n_votes = len(TYPES) + 1
+    votes = np.arange(len(counts))[:, None] // n_votes ** np.arange(len(TYPE_VOTERS)) % n_votes
+    cast = np.stack([(votes == t).sum(axis=1) for t in range(len(TYPES))], axis=1) + 0.1
+    post = cast / cast.sum(axis=1, keepdims=True)
+    for _ in range(rounds):
+        old, mass = post, counts[:, None] * post
+        prior = np.log((mass.sum(axis=0) + 1) / (mass.sum() + len(TYPES)))
+        log = np.tile(prior, (len(counts), 1))
+        for j in range(len(TYPE_VOTERS)):
+            seen = np.stack([np.bincount(votes[:, j], mass[:, t], n_votes) for t in range(len(TYPES))], axis=1) + 1.0
+            log += np.log(seen / seen.sum(axis=0))[votes[:, j]]
+        post = np.exp(log - log.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        if np.abs(post - old).max() < 1e-6:
+            break
+    return post
+
+
 def unpattern(n: int) -> list[int]:
     out = []
     for _ in VOTERS:

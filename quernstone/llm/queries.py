@@ -42,9 +42,13 @@ def _without_garbled(spark: SparkSession, d: str, pairs: DataFrame, a: str, b: s
     return pairs
 
 
+def p4_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """All overlaps, garbled records among them, which SQL can follow."""
+    return overlap.overlaps(table(spark, d, "shard", "row_id", "split", "text"), "row_id", "split", "text")
+
+
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
-    shard = table(spark, d, "shard", "row_id", "split", "text")
-    return _without_garbled(spark, d, overlap.overlaps(shard, "row_id", "split", "text"), "held_id", "train_id")
+    return _without_garbled(spark, d, p4_overlaps(spark, d), "held_id", "train_id")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -60,10 +64,13 @@ def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return neardup.linked(table(spark, d, "shard", "row_id", "text"), "row_id", "text", similarity=0.6, size=3, min_words=60)
 
 
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs, garbled records among them, which SQL can follow."""
+    return neardup.all_pairs(*_near(spark, d)).toDF("row_id_a", "row_id_b")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    members, links = _near(spark, d)
-    pairs = neardup.all_pairs(members, links).toDF("row_id_a", "row_id_b")
-    return _without_garbled(spark, d, pairs, "row_id_a", "row_id_b")
+    return _without_garbled(spark, d, p5_pairs(spark, d), "row_id_a", "row_id_b")
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -101,7 +108,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_scores(spark, d).where("is_residue").select("doc_id")
 
 
-QUERIES = (p1_found, p1_restored, p2_found, p2_types, p3_rows, p4_found, p4_report, p5_found, p5_groups, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks, p9_found, p9_scores)
+QUERIES = (p1_found, p1_restored, p2_found, p2_types, p3_rows, p4_found, p4_overlaps, p4_report, p5_found, p5_groups, p5_pairs, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks, p9_found, p9_scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -112,7 +119,14 @@ def oracle_sql() -> dict[str, str]:
     runs = """SELECT DISTINCT {id}, array_to_string(w[i : i + 12], ' ') AS run FROM (
         SELECT {id}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {id}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {table}))"""
     docs, items = runs.format(id="doc_id", table="documents"), runs.format(id="item_id", table="eval_items")
+    shingles = """WITH w AS (SELECT row_id, split, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM shard WHERE text IS NOT NULL),
+        s AS (SELECT DISTINCT row_id, split, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 60)),
+        n AS (SELECT row_id, count(*) AS n FROM s GROUP BY row_id) """
     return {
+        "p4_overlaps": shingles + """SELECT a.row_id AS held_id, b.row_id AS train_id, CAST(n AS INTEGER) AS n_held, CAST(count(*) AS INTEGER) AS n_common
+            FROM s a JOIN s b ON a.s = b.s AND a.split = 'val' AND b.split = 'train' JOIN n ON n.row_id = a.row_id GROUP BY a.row_id, b.row_id, n HAVING count(*) * 5 >= n * 3""",
+        "p5_pairs": shingles + """SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM s a JOIN s b ON a.s = b.s AND a.row_id < b.row_id
+            JOIN n x ON x.row_id = a.row_id JOIN n y ON y.row_id = b.row_id GROUP BY a.row_id, b.row_id, x.n, y.n HAVING count(*) * 5 >= (x.n + y.n - count(*)) * 3""",
         "p6_found": "SELECT row_id FROM shard WHERE length(text) > 10000",
         "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({docs}) JOIN ({items}) USING (run)",
     }

@@ -110,6 +110,18 @@ def test_text_types(spark):
     got = {r.row_id: r for r in quality.text_types(spark.createDataFrame(rows, "row_id long, text string"), "row_id", "text").collect()}
     assert {i for i, r in got.items() if r.text_type == "prose"} == set(range(80))
     assert got[0].ended_lines == 1.0 and got[200].symbol_ratio > got[0].symbol_ratio
+    kinds = {lo: Counter(got[i].text_type for i in got if lo <= i < lo + 100).most_common(1)[0][0] for lo in (200, 300, 400)}
+    assert kinds == {200: "table", 300: "list", 400: "junk"}
+    assert all(r.as_table + r.as_list + r.as_junk == pytest.approx(r.listed) for r in got.values())
+
+
+def test_what_is_said_over_is_judged_on_whole_texts(monkeypatch):
+    monkeypatch.setattr(quality, "BATCH_CHARS", 400)
+    over, rng = "say it again and again now " * 60, random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    varied = "".join(f"{word()} {word()} {word()} " * 20 for _ in range(40))  # each piece repeats, the whole doesn't
+    for own, b in quality._batches(["short text", over, varied]):
+        assert all(bool(r) == (k == 1) for k, r in zip(own.tolist(), b.repeats))
 
 
 # 3: packing
