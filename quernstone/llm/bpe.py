@@ -155,3 +155,21 @@ def encoded(df: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY)
 
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(apply, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+
+
+@lru_cache(maxsize=2)
+def _spellings(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
+def decoded(df: DataFrame, id_col: str, ids: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Every row's id and ``raw``, the bytes that its token ids spell; an empty list spells nothing, null is null."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spelling = _spellings(vocabulary)
+        for batch in batches:
+            raw = [None if x is None else b"".join(map(spelling.__getitem__, x)) for x in batch.column(1).to_pylist()]
+            yield pa.record_batch({"id": batch.column(0), "raw": pa.array(raw, pa.binary())})
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(F.col(id_col).alias("id"), ids).mapInArrow(apply, f"id {kind}, raw binary").withColumnRenamed("id", id_col)

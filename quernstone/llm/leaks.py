@@ -8,26 +8,28 @@ counted in overlapping diagonal bands twice as wide; only regions that reach the
 are wide enough for w words go on, to banded alignment: dynamic programming over the band's
 diagonals and numbers of edits, which finds the longest stretches with no more than e edits.
 
-The items are the queries: they are indexed in blocks of bounded size, each of which is
-broadcast and held against the whole corpus.
+The items are the queries.  Up to a bounded size their index is broadcast and held against the
+corpus; larger tables of items are joined with it on the q-grams.  Either way the corpus is read once
+for them all.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.plans.durable import spread
+from quernstone.llm.shingles import bitmap, in_bitmap
+from quernstone.plans.durable import spread, written
 
 WORD = re.compile(r"[^\W_]+")
 #: Least and greatest length of the q-grams; within them as long as the bound allows.
 SHORTEST, LONGEST = 4, 32
-#: Characters of item text in one broadcast block.
+#: Characters of item text whose index is broadcast.
 BLOCK_CHARS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,17 +66,27 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def shortest_run(texts: Iterable[np.ndarray], words: int) -> int | None:
+    """Characters of the shortest run of ``words`` words in texts in normal form, None if there is none."""
+    gaps = [np.flatnonzero(c == 32) for c in texts]
+    return min((int((g[words:] - g[:-words]).min()) + 1 for g in gaps if len(g) > words), default=None)
+
+
+def bounds(chars: int | None, words: int, edits: int) -> tuple[int, int]:
+    """The length of the q-grams, and how many of them a passage of ``chars`` characters shares at least."""
+    chars = chars or 2 * words + 1
+    q = max(SHORTEST, min(LONGEST, (chars + 1) // (edits + 2)))
+    return q, max(1, chars + 1 - q - q * edits)
+
+
 class Index:
-    """The q-grams of a block of items: sorted hashes with their items and positions."""
+    """The q-grams of the items: sorted hashes with their items and positions."""
 
     def __init__(self, items: list[tuple], words: int, edits: int):
         self.ids, self.texts = [i for i, _ in items], [normal(t) for _, t in items]
         self.codes = [_codes(t) for t in self.texts]
-        gaps = [np.flatnonzero(c == 32) for c in self.codes]
-        runs = [int((g[words:] - g[:-words]).min()) + 1 for g in gaps if len(g) > words]
-        chars = min(runs, default=2 * words + 1)
-        self.q = q = max(SHORTEST, min(LONGEST, (chars + 1) // (edits + 2)))
-        self.least = max(1, chars + 1 - q - q * edits)
+        self.q, self.least = bounds(shortest_run(self.codes, words), words, edits)
+        q = self.q
         hashes = [qgram_hashes(c, q) for c in self.codes]
         h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
@@ -180,27 +192,90 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
     spark = docs.sparkSession
     source = spread(docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).cast("string").alias("text")).where("text is not null"))
     asked = items.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).where("text is not null")
-    total = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(total) // block_chars))
     kinds = {"doc": source.schema["doc"].dataType.simpleString(), "item": asked.schema["item"].dataType.simpleString()}
     schema = f"doc {kinds['doc']}, item {kinds['item']}, n_words int, n_chars int, n_edits int, share double"
+    asked = asked.where(F.length("text") >= 2 * words - 1)  # shorter ones have no passage, and would come to the driver however many
+    total = asked.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    if total > block_chars:
+        return _joined(source, asked, words, edits, schema)
+    index = spark.sparkContext.broadcast(Index([tuple(r) for r in asked.collect()], words, edits))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = index.value
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in slices(texts):
+                yield _search(ix, batch.column(0).slice(lo, hi - lo), texts[lo:hi], edits, words)
+
+    return source.mapInArrow(apply, schema)
 
-    def against(index) -> DataFrame:
+
+def _joined(source: DataFrame, asked: DataFrame, words: int, edits: int, schema: str) -> DataFrame:
+    """The same for items of any number: both sides post their q-grams, and what meets is counted by diagonal band.
+
+    A bitmap of fixed size leaves out q-grams that no item has.  Texts go by their hash until they are
+    aligned, so copies are one text and a clash of hashes only aligns more than it must.
+    """
+    spark = source.sparkSession
+
+    def shortest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([shortest_run((_codes(normal(t)) for t in b.column(0).to_pylist()), words)], pa.int64())})
+
+    q, least = bounds(asked.select("text").mapInArrow(shortest, "n long").agg(F.min("n")).first()[0], words, edits)
+
+    def posted(known: Callable[[np.ndarray], np.ndarray] | None) -> Callable:
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            for batch in batches:
-                texts = batch.column(1).to_pylist()
-                for lo, hi in slices(texts):
-                    yield _search(ix, batch.column(0).slice(lo, hi - lo), texts[lo:hi], edits, words)
-
-        return source.mapInArrow(apply, schema)
-
-    out = None
-    for k in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        found = against(spark.sparkContext.broadcast(Index([tuple(r) for r in rows], words, edits)))
-        out = found if out is None else out.unionByName(found)
-    return out
+            seen: set[int] = set()
+            for b in batches:
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if k in seen:
+                        continue
+                    if len(seen) < 1_000_000:
+                        seen.add(k)
+                    h = qgram_hashes(_codes(normal(t)), q)
+                    at = np.flatnonzero(known(h)) if known else np.arange(len(h))
+                    if len(at):
+                        yield pa.record_batch({"h": pa.array(h[at].view(np.int64)), "k": pa.array(np.full(len(at), k, np.int64)), "pos": pa.array(at.astype(np.int32))})
+
+        return apply
+
+    hashed = lambda df: df.select(F.xxhash64("text").alias("k"), "text")
+    item_posts = written(hashed(asked).mapInArrow(posted(None), "h long, k long, pos int").distinct())
+    mark = spark.sparkContext.broadcast(bitmap(item_posts.select("h")))
+    doc_posts = hashed(source).mapInArrow(posted(lambda h: in_bitmap(mark.value, h)), "h long, k long, pos int")
+    d, i = doc_posts.alias("d"), item_posts.alias("i")
+    width = 2 * max(1, edits)
+    hits = d.join(i, F.col("d.h") == F.col("i.h")).select(F.col("d.k").alias("kd"), F.col("i.k").alias("ki"), F.col("d.pos").alias("pos"), (F.col("d.pos") - F.col("i.pos")).alias("shift"))
+    bands = [F.struct(F.lit(half).alias("half"), F.floor((F.col("shift") + half * (width // 2)) / width).alias("band")) for half in (0, 1)] if edits else [F.struct(F.lit(0).alias("half"), F.col("shift").cast("long").alias("band"))]
+    banded = hits.select("*", F.inline(F.array(*bands)))
+    region = [F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.min("shift").alias("smin"), F.max("shift").alias("smax")]
+    cells = banded.groupBy("kd", "ki", "half", "band").agg(F.count(F.lit(1)).alias("n"), *region).where(F.col("n") >= least)
+    pairs = written(cells.groupBy("kd", "ki").agg(F.collect_set(F.struct("lo", "hi", "smin", "smax")).alias("cells")))
+    docs = source.withColumn("kd", F.xxhash64("text")).withColumnRenamed("text", "doc_text")
+    items = asked.withColumn("ki", F.xxhash64("text")).withColumnRenamed("text", "item_text")
+    met = docs.join(pairs, "kd").join(items, "ki").select("doc", "item", "doc_text", "item_text", "cells")
+    chars = 2 * words + 1
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for k, (t, x, regions) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4)))):
+                text, item = _codes(normal(t)), _codes(normal(x))
+                got = [aligned(text, item, r["lo"] - chars, r["hi"] + q + chars, range(r["smin"] - edits, r["smax"] + edits + 1), edits) for r in regions]
+                if (got := [g for g in got if g[1] >= words]):
+                    n, first, e = max((last - first, first, e) for _, _, first, last, e in got)
+                    found.append((k, max(g[0] for g in got), n, e, n / max(1, len(item))))
+            k, n_words, n_chars, n_edits, part = zip(*found) if found else ((), (), (), (), ())
+            at = pa.array(k, pa.int64())
+            yield pa.record_batch(
+                {
+                    "doc": b.column(0).take(at), "item": b.column(1).take(at), "n_words": pa.array(n_words, pa.int32()),
+                    "n_chars": pa.array(n_chars, pa.int32()), "n_edits": pa.array(n_edits, pa.int32()), "share": pa.array(part, pa.float64()),
+                }
+            )
+
+    return met.mapInArrow(verified, schema)
 
 
 def _search(ix: Index, ids: pa.Array, texts: list[str], edits: int, words: int) -> pa.RecordBatch:

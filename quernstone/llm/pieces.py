@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Pieces whose lengths are summed together.
+GROUP = 128
+
+
 def cutting_pattern(most: int) -> str:
     """Matches the next piece of at most ``most`` characters."""
     half = max(1, most // 2)
@@ -34,12 +38,19 @@ def pieces(df: DataFrame, id_col: str, text: str, limit: int = 10_000, overlap:
     new = F.regexp_extract_all("text", F.lit(cutting_pattern(limit - overlap)), F.lit(0))
     long = df.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text")).where(F.length("text") > limit)
     cut = long.select("id", new.alias("parts"))
-    starts = F.aggregate(
-        "parts",
+    # running sums in groups, so that the array that grows by copying has a place for each group only
+    lengths = F.transform("parts", F.length)
+    total = lambda first, n: F.aggregate(F.slice(lengths, first, n), F.lit(0), lambda s, x: s + x)
+    group = lambda i: F.floor(i / GROUP).cast("int")
+    sums = F.transform(F.sequence(F.lit(0), group(F.size("parts") - 1)), lambda g: total(g * GROUP + 1, F.lit(GROUP)))
+    bases = F.aggregate(
+        sums,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")),
         lambda s: s["all"],
     )
+    cut = cut.withColumn("bases", bases)
+    starts = F.transform("parts", lambda p, i: F.get("bases", group(i)) + total(group(i) * GROUP + 1, i % GROUP))
     back = lambda p: F.regexp_replace(F.substring(p, -overlap, overlap), r"(?s)^\S*\s+(?=\S)", "") if overlap else F.lit("")
     shown = F.transform("parts", lambda p, i: F.when(i == 0, F.lit("")).otherwise(back(F.get("parts", i - 1))))
     rows = cut.select("id", F.posexplode(F.arrays_zip(F.col("parts").alias("new"), starts.alias("start"), shown.alias("before"))).alias("piece_no", "p"))

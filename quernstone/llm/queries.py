@@ -32,6 +32,15 @@ def p3_rows(spark: SparkSession, d: str) -> DataFrame:
     return packing.packed(table(spark, d, "shard", "row_id", "split", "text"), "row_id", "split", "text")
 
 
+def p3_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What packing must keep, which SQL can follow: every record in its split once, its pieces one after the other, in rows that hold them."""
+    rows = p3_rows(spark, d).withColumn("fits", (F.col("used") <= 2049) & (F.col("used") + F.col("unused") == 2049) & (F.col("n_records") == F.size("records")))
+    placed = rows.select("split", "fits", F.inline("records"))
+    whole = placed.groupBy("split", "row_id").agg(F.min("fits").alias("fits"), F.max(F.col("start") + F.col("length")).alias("until"), F.sum("length").alias("tokens"), F.min("start").alias("since"))
+    kept = F.min(F.col("fits") & (F.col("until") == F.col("tokens")) & (F.col("since") == 0))
+    return whole.groupBy("split").agg(F.count(F.lit(1)).alias("n_records"), kept.alias("is_whole"))
+
+
 def _without_garbled(spark: SparkSession, d: str, pairs: DataFrame, a: str, b: str) -> DataFrame:
     """The pairs of which neither record is a case of problem 1."""
     pairs = written(pairs)
@@ -86,6 +95,19 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.pieces(table(spark, d, "shard", "row_id", "text"), "row_id", "text")
 
 
+def p6_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the pieces make up without their overlaps, which SQL can follow."""
+    new = F.struct("piece_no", F.substring("piece", F.col("n_overlap") + 1, F.length("piece")).alias("new"))
+    whole = p6_pieces(spark, d).groupBy("row_id").agg(F.sort_array(F.collect_list(new)).alias("p"), F.max(F.length("piece")).alias("longest"), F.max("n_overlap").alias("overlap"))
+    text = F.array_join("p.new", "")
+    return whole.select("row_id", F.length(text).alias("n_chars"), F.md5(text.cast("binary")).alias("md5"), ((F.col("longest") <= 10_000) & (F.col("overlap") <= 200)).alias("is_within"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the ids spell, which SQL can follow."""
+    return bpe.decoded(p7_ids(spark, d), "doc_id", "ids").select("doc_id", F.octet_length("raw").alias("n_bytes"), F.md5("raw").alias("md5"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encoded(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
@@ -108,7 +130,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_scores(spark, d).where("is_residue").select("doc_id")
 
 
-QUERIES = (p1_found, p1_restored, p2_found, p2_types, p3_rows, p4_found, p4_overlaps, p4_report, p5_found, p5_groups, p5_pairs, p6_found, p6_pieces, p7_ids, p8_found, p8_leaks, p9_found, p9_scores)
+QUERIES = (p1_found, p1_restored, p2_found, p2_types, p3_rows, p3_totals, p4_found, p4_overlaps, p4_report, p5_found, p5_groups, p5_pairs, p6_found, p6_pieces, p6_rebuilt, p7_decoded, p7_ids, p8_found, p8_leaks, p9_found, p9_scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -123,6 +145,9 @@ def oracle_sql() -> dict[str, str]:
         s AS (SELECT DISTINCT row_id, split, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 60)),
         n AS (SELECT row_id, count(*) AS n FROM s GROUP BY row_id) """
     return {
+        "p3_totals": "SELECT split, count(*) AS n_records, true AS is_whole FROM shard WHERE text IS NOT NULL GROUP BY split",
+        "p6_rebuilt": "SELECT row_id, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS md5, true AS is_within FROM shard WHERE length(text) > 10000",
+        "p7_decoded": "SELECT doc_id, CAST(strlen(coalesce(text, '')) AS INTEGER) AS n_bytes, md5(coalesce(text, '')) AS md5 FROM documents",
         "p4_overlaps": shingles + """SELECT a.row_id AS held_id, b.row_id AS train_id, CAST(n AS INTEGER) AS n_held, CAST(count(*) AS INTEGER) AS n_common
             FROM s a JOIN s b ON a.s = b.s AND a.split = 'val' AND b.split = 'train' JOIN n ON n.row_id = a.row_id GROUP BY a.row_id, b.row_id, n HAVING count(*) * 5 >= n * 3""",
         "p5_pairs": shingles + """SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM s a JOIN s b ON a.s = b.s AND a.row_id < b.row_id

@@ -30,14 +30,14 @@ TRUSTED_CHARS = 320
 TRUSTED = re.compile(
     # error pages
     r"(?im)^(?:(?:http/\d(?:\.\d)?|error|status)[ :]*)?[45]\d\d\b.{0,3}(?:not found|forbidden|internal server|bad gateway|service unavailable|too many)"
-    r"|\b(?:page|seite|note|report|site|link)\b.{0,30}\b(?:not found|nicht gefunden|introuvable|isn['’]t available|cannot be shown|failed to load)\b"
-    r"|\b(?:connection failed|servers are busy|access denied|down for maintenance|rate limit exceeded)\b"
+    r"|\b(?:page|seite|note|report|site|link)\b.{0,30}\b(?:not found|nicht gefunden|isn['’]t available|cannot be shown|failed to load)\b"
+    r"|\b(?:connection failed|could not reach|access denied|down for maintenance|rate limit exceeded)\b"
     # notices that scripts are required
     r"|\b(?:javascript|scripts|scripting|client-side code)\b.{0,30}\b(?:on|off|enabled|disabled|required)\b|\b(?:enable|allow|active|switch on|turn on)\b.{0,30}\b(?:javascript|js|scripts|scripting)\b"
     r"|\b\w*(?:a[ck]?ti[vw]|attiv)\w*\b.{0,30}\bjavascript\b|\bjavascript\b.{0,30}\b\w*(?:a[ck]?ti[vw]|attiv)\w*\b"
     # filler, the same said four times, and what is still to be written
-    r"|^lorem ipsum|\b(\w[^\n]{1,40}?)(?:[ .]+\1){3,}|^\W*(?:todo|tbd)(?:[:.]|$)|\bto be (?:filled in|written|added)\b|\b(?:no text yet|coming soon)\b"
-    r"|^(?:write|type|enter)\b.{0,60}\b(?:here|in this (?:box|field|space))\b|^title of the \w+$|\b(?:text|content) goes here\b|^this is a (?:dummy|sample|placeholder)\b"
+    r"|^lorem ipsum|\b(\w[^\n]{1,40}?)(?:[ .]+\1){3,}|^\W*(?:todo|tbd)(?:[:.]|$)|\bto be (?:filled in|written|added)\b|\bno text yet\b"
+    r"|^(?:write|type|enter)\b.{0,60}\b(?:here|in this (?:box|field|space))\b|^title of the \w+$"
 )
 #: The commonest way of marking a place to be filled in is trusted wherever it stands.
 SEED_SLOT = re.compile(rf"\{{\{{[ ]?{_NAME}[ ]?\}}\}}")

@@ -262,6 +262,13 @@ def test_pieces_make_up_the_text(spark, unit):
     assert {r.row_id for r in rows.collect()} == {1}
 
 
+def test_starts_of_very_many_pieces(spark):
+    text = "word " * 3000
+    rows = pieces.pieces(spark.createDataFrame([(1, text)], "row_id long, text string"), "row_id", "text", limit=20, overlap=3).orderBy("piece_no").collect()
+    assert len(rows) > 4 * pieces.GROUP and all(text[r.start :].startswith(r.piece[r.n_overlap :]) for r in rows)
+    assert all(b.start == a.start + len(a.piece) - a.n_overlap for a, b in zip(rows, rows[1:]))
+
+
 def test_pieces_prefer_strong_boundaries(spark):
     text = ("a" * 50 + " ") * 6 + "b" * 20 + "\n\n" + "c " * 300
     first = pieces.pieces(spark.createDataFrame([(1, text)], "row_id long, text string"), "row_id", "text", limit=500, overlap=40).orderBy("piece_no").first()
@@ -306,6 +313,19 @@ def test_leaks_against_brute_force(spark):
         assert {(r.doc, r.item) for r in got.collect()} == want and want
 
 
+def test_joined_items_give_what_broadcast_ones_do(spark):
+    rng = random.Random(21)
+    opening = prose(20, rng)
+    items = [(i, f"{opening} {prose(30, rng)}") for i in range(10)] + [(20, None), (21, ""), (22, "short")]
+    docs = [(0, f"{prose(9, rng)} {opening} {prose(9, rng)}"), (0, f"{prose(9, rng)} {opening} {prose(9, rng)}"), (1, items[3][1]), (None, items[4][1][:70] + "#" + items[4][1][71:]), (2, None), (3, "")]
+    ddf, idf = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for edits in (0, 1, 2):
+        one, many = (sorted(map(str, leaks.leaks(ddf, "doc_id", "text", idf, "item_id", "text", edits=edits, block_chars=n).collect())) for n in (4_000_000, 900))
+        assert one == many and len(one) >= 30
+    plan = leaks.leaks(ddf, "doc_id", "text", idf.where("false"), "item_id", "text", block_chars=-1)
+    assert plan.collect() == []
+
+
 def test_leaks_allow_an_edit(spark):
     item = "the quick brown fox jumps over the lazy dog while nine small birds watch from a tree"
     doc = "before it " + item.replace("lazy", "lazi") + " after it"
