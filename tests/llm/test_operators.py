@@ -90,6 +90,14 @@ def test_garbled_records_come_out_restored(spark):
     assert {r.row_id for r in encoding.garbled_ids(df, "row_id", "text").collect()} == {100, 101, 104}
 
 
+def test_lost_bytes_are_filled_from_twins(spark):
+    clean = "La région près de la forêt reçoit więc ktoś ‘jamais’."
+    rows = [(i, f"{clean} {i}") for i in range(30)] + [(100, "La r\ufffdgion pr\ufffds (de la for\ufffdt), po\ufffd"), (101, "Lui r\xc3\xa9gion for\xc3\xaat wi\xc4c kto\xc5!"), (None, "La for\ufffd\ufffdt"), (None, "La for\ufffd\ufffdt")]
+    got = sorted(map(tuple, encoding.restored(spark.createDataFrame(rows, "row_id long, text string"), "row_id", "text").collect()), key=str)
+    assert got == [(100, "La région près (de la forêt), po\ufffd"), (101, "Lui région forêt więc ktoś!"), (None, "La forêt"), (None, "La forêt")]
+    assert encoding_core.may_be("wi\xc4c", "więc") and not encoding_core.may_be("wi\xc3c", "więc") and not encoding_core.may_be("więc", "więc")
+
+
 def test_frequent_garbling_is_found(spark):
     clean = "Le marché du café fermé malgré la fête. "
     garbled = lambda t: t.encode().decode("latin_1")
@@ -181,6 +189,14 @@ def similar(spark):
     return rows, spark.createDataFrame(rows, "row_id long, split string, text string").repartition(3)
 
 
+def test_copies_on_both_sides_are_all_listed(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "COPIES", 7)
+    text = prose(70)
+    rows = [(i, "val" if i % 4 == 0 else "train", text) for i in range(60)] + [(100, "train", text + " more words"), (101, "val", None)]
+    got = [(r.held_id, r.train_id) for r in overlap.overlaps(spark.createDataFrame(rows, "row_id long, split string, text string"), "row_id", "split", "text").collect()]
+    assert sorted(got) == sorted((a, b) for a in range(0, 60, 4) for b in [*(i for i in range(60) if i % 4), 100])
+
+
 def test_overlaps_are_all_there(similar):
     rows, df = similar
     sets = {i: (s, triples(t)) for i, s, t in rows}
