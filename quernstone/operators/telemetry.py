@@ -186,20 +186,31 @@ def parse_summary(lines: DataFrame, line: str = "value") -> DataFrame:
 
 
 def parse_progress(lines: DataFrame, line: str = "value") -> DataFrame:
-    """Progress lines of a log as columns; other lines are left out."""
+    """Progress lines of a log as columns, behind those that come with them; other lines are left out."""
     pattern = (
         r"step (\d+) \(([\d.]+)%\) \| loss: (\S+) \| lrm: ([\d.]+) \| dt: (\d+)ms \| tok/sec: ([\d,]+)"
         r"(?: \| mfu: ([\d.]+)%)?(?: \| epoch: (\d+))?(?: \| remaining: (\d+)s)?"
     )
     part = lambda k: F.regexp_extract(line, pattern, k)
     return lines.where(F.col(line).rlike(pattern)).select(
-        part(1).cast("int").alias("step"), part(2).cast("double").alias("pct_done"), part(3).try_cast("double").alias("loss"), part(4).cast("double").alias("lrm"),
+        *(c for c in lines.columns if c != line), part(1).cast("int").alias("step"), part(2).cast("double").alias("pct_done"), part(3).try_cast("double").alias("loss"), part(4).cast("double").alias("lrm"),
         (part(5).cast("double") / 1000).alias("dt"), F.replace(part(6), F.lit(","), F.lit("")).cast("long").alias("tok_per_sec"),
         F.nullif(part(7), F.lit("")).cast("double").alias("mfu"), F.nullif(part(8), F.lit("")).cast("int").alias("epoch"),
         F.nullif(part(9), F.lit("")).cast("int").alias("remaining"),
     )
 
 
+def progress_lines(steps: DataFrame) -> DataFrame:
+    """The line that a run logs for each step; a step without a time or utilization has none."""
+    known = steps.where("dt is not null and mfu is not null")
+    done = 100 * (1 - F.col("remaining") / BUDGET_SECONDS)
+    line = F.format_string(
+        "step %05d (%.1f%%) | loss: %.6f | lrm: %.2f | dt: %.0fms | tok/sec: %,d | mfu: %.1f%% | epoch: %d | remaining: %.0fs    ",
+        "step", done, "loss", "lrm", F.col("dt") * 1000, "tok_per_sec", "mfu", "epoch", "remaining",
+    )
+    return known.select(*RUN, line.alias("value"))
+
+
 def summary_lines(summary: DataFrame) -> DataFrame:
     """The summary of a run as the lines that its log ends with."""
     shown = {"val_bpb": "%.6f", "training_seconds": "%.1f", "total_seconds": "%.1f", "peak_vram_mb": "%.1f", "mfu_percent": "%.2f", "total_tokens_M": "%.1f", "num_steps": "%.0f", "num_params_M": "%.1f", "depth": "%.0f"}

@@ -36,10 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[key]
 
 
-def written(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def step_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, which ``remove_steps`` knows of."""
+    _STEPS.append(f"{shared_dir(spark)}/step-{uuid.uuid4().hex}")
+    return _STEPS[-1]
+
+
+def written(df: DataFrame) -> DataFrame:
     """``df`` written once and read again: its lineage ends here."""
-    path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    _STEPS.append(path)
+    path = step_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

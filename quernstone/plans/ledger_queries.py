@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.operators import ledger
+from quernstone.plans.durable import step_path
+from quernstone.sources import files
 from quernstone.sources.tables import table
 
 OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -26,8 +28,15 @@ OPERATORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
+def ledger_tsv(spark: SparkSession, d: str) -> DataFrame:
+    """All rows written as a tab-separated ledger and read from it again."""
+    folder = step_path(spark)
+    files.append_ledger(table(spark, d, "ledger").withColumnRenamed("commit_hash", "commit"), folder)
+    return files.read_ledger(spark, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, d, f=f: f(ledger.normalize(table(spark, d, "ledger"))) for name, f in OPERATORS.items()}
+    return {"ledger_tsv": ledger_tsv} | {name: lambda spark, d, f=f: f(ledger.normalize(table(spark, d, "ledger"))) for name, f in OPERATORS.items()}
 
 
 def _number(c: str) -> str:
@@ -55,6 +64,7 @@ hit AS (
 STRIP = "regexp_replace(coalesce(description, 'nan'), '^\\s+|\\s+$', '', 'g')"
 
 _SQL = {
+    "ledger_tsv": """SELECT commit_hash AS commit, nullif(val_bpb, '') AS val_bpb, nullif(memory_gb, '') AS memory_gb, nullif(status, '') AS status, nullif(description, '') AS description FROM ledger""",
     "ledger_normalize": "SELECT * FROM led",
     "ledger_preview": "SELECT * FROM led QUALIFY row_number() OVER (PARTITION BY run_tag ORDER BY exp_no) <= 10",
     "ledger_outcomes": "SELECT run_tag, status, count(*) AS n FROM led WHERE status IS NOT NULL GROUP BY ALL",

@@ -51,13 +51,18 @@ def log_summary_parse(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.summaries(telemetry.parse_summary(written))
 
 
+def log_progress_parse(spark: SparkSession, d: str) -> DataFrame:
+    """Steps written out as log lines and read from them again."""
+    return telemetry.parse_progress(telemetry.progress_lines(_steps(spark, d))).drop("pct_done")
+
+
 def ledger_from_logs(spark: SparkSession, d: str) -> DataFrame:
     return telemetry.ledger_rows(ledger.normalize(table(spark, d, "ledger")), table(spark, d, "run_summary"))
 
 
 QUERIES = (
     telemetry_schedules, telemetry_ema, telemetry_budget_stop, telemetry_throughput, telemetry_run_totals, telemetry_fail_fast, run_timeout,
-    log_summary_parse, ledger_from_logs,
+    log_summary_parse, log_progress_parse, ledger_from_logs,
 )
 
 
@@ -102,6 +107,10 @@ def oracle_sql() -> dict[str, str]:
             FROM t LEFT JOIN (SELECT run_tag, exp_no, min(step) AS bad FROM t WHERE isnan(loss) OR loss > 100 GROUP BY ALL) USING (run_tag, exp_no) GROUP BY run_tag, exp_no""",
         "run_timeout": f"SELECT run_tag, exp_no, total_seconds, round(total_seconds - training_seconds, 4) AS other_seconds, total_seconds > 600 AS timed_out FROM ({_SUMMARY})",
         "log_summary_parse": f"SELECT * FROM ({_SUMMARY})",
+        "log_progress_parse": """SELECT run_tag, exp_no, CAST(step AS INTEGER) AS step, round(loss, 6) AS loss, round(lrm, 2) AS lrm, round(dt * 1000) / 1000 AS dt, tok_per_sec, round(mfu, 1) AS mfu,
+            epoch, CAST(round(remaining) AS INTEGER) AS remaining FROM (SELECT * FROM telemetry
+              QUALIFY row_number() OVER (PARTITION BY run_tag, exp_no, step ORDER BY loaded_at DESC NULLS LAST, loss DESC NULLS LAST, dt DESC NULLS LAST, mfu DESC NULLS LAST) = 1)
+            WHERE NOT isnan(dt) AND NOT isnan(mfu)""",
         "ledger_from_logs": f"""WITH one AS (SELECT run_tag, exp_no, commit_hash FROM ledger
               QUALIFY row_number() OVER (PARTITION BY run_tag, exp_no ORDER BY logged_at DESC NULLS LAST, status NULLS LAST, val_bpb NULLS LAST, memory_gb NULLS LAST, commit_hash NULLS LAST, description NULLS LAST) = 1),
             s AS ({_SUMMARY}), ok AS (SELECT DISTINCT run_tag, exp_no, true AS has FROM run_summary WHERE metric_name = 'val_bpb')

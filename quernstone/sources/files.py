@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WRITTEN = {"sep": "\t", "header": True, "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 LEDGER_SCHEMA = "commit string, val_bpb string, memory_gb string, status string, description string"
 
 
@@ -24,13 +25,13 @@ def require_shards(spark: SparkSession, folder: str, least: int = 2) -> int:
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated ledger with its header; quotation marks are text like any other."""
+    """A tab-separated ledger with its header; quotation marks and blanks are text like any other, an empty field is null."""
     return spark.read.options(sep="\t", header=True, quote="").schema(LEDGER_SCHEMA).csv(path)
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
     """Rows of a ledger's five columns, appended to a folder of tab-separated files."""
-    rows.select("commit", "val_bpb", "memory_gb", "status", "description").write.mode("append").options(sep="\t", header=True, quote="").csv(path)
+    rows.select("commit", "val_bpb", "memory_gb", "status", "description").write.mode("append").options(**WRITTEN).csv(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:

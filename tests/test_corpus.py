@@ -190,3 +190,5 @@ def test_shards_and_ledger_files(spark, tmp_path):
     files.append_ledger(rows, str(tmp_path / "l"))
     files.append_ledger(rows, str(tmp_path / "l"))
     assert [r.description for r in files.read_ledger(spark, str(tmp_path / "l")).collect()] == ['say "hi"'] * 2
+    files.append_ledger(spark.createDataFrame([("a", " 1 ", "", None, "  padded ")], files.LEDGER_SCHEMA), str(tmp_path / "p"))
+    assert tuple(files.read_ledger(spark, str(tmp_path / "p")).first()) == ("a", " 1 ", None, None, "  padded ")

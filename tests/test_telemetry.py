@@ -46,6 +46,15 @@ def test_smoothed_loss_is_the_fold(spark):
     assert got == pytest.approx(want)
 
 
+def test_progress_lines_are_read_again(spark):
+    rows = [("r", 0, 0, float("nan"), 1.0, 0.318, 1_646_000, 39.8, 1, 299.6), ("r", 0, 1, None, 0.5, 32.934, 15_919, 39.0, 2, 0.0), ("r", 0, 2, 1.0, 1.0, None, 1, 1.0, 1, 1.0)]
+    df = spark.createDataFrame(rows, RUN.replace(", dt double", "") + ", lrm double, dt double, tok_per_sec long, mfu double, epoch int, remaining double")
+    lines = tel.progress_lines(df)
+    assert lines.first().value == "step 00000 (0.1%) | loss: NaN | lrm: 1.00 | dt: 318ms | tok/sec: 1,646,000 | mfu: 39.8% | epoch: 1 | remaining: 300s    "
+    got = {r.step: r for r in tel.parse_progress(lines).collect()}
+    assert set(got) == {0, 1} and math.isnan(got[0].loss) and got[1].loss is None and got[1].dt == 32.934 and got[0].run_tag == "r" and got[1].epoch == 2
+
+
 def test_smoothed_loss_over_blocks_of_a_long_run(spark, monkeypatch):
     monkeypatch.setattr(tel, "EMA_BLOCK", 400)
     xs = [1.0 + (7 * i % 13) / 5 for i in range(1700)]
