@@ -31,6 +31,8 @@ WORD = re.compile(r"[^\W_]+")
 SHORTEST, LONGEST = 4, 32
 #: Characters of item text whose index is broadcast.
 BLOCK_CHARS = 4_000_000
+#: Shared q-grams of several texts that are looked at together.
+MOST_HITS = 4_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -98,8 +100,8 @@ class Index:
         self.bitmap = np.zeros(1 << 22, bool)
         self.bitmap[(self.keys >> np.uint64(42)).astype(np.int64)] = True
 
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document position, item and item position of every shared q-gram."""
+    def hits(self, h: np.ndarray, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Document position, item and item position of every shared q-gram; None if there are more than ``most``."""
         at = np.flatnonzero(self.bitmap[(h >> np.uint64(42)).astype(np.int64)])
         if not len(at) or not len(self.keys):
             return (np.zeros(0, np.int64),) * 3
@@ -107,6 +109,8 @@ class Index:
         same = self.keys[k] == h[at]
         at, k = at[same], k[same]
         n = self.last[k] - self.first[k]
+        if most is not None and n.sum() > most:
+            return None
         where = np.repeat(self.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(at, n), self.item[where], self.pos[where]
 
@@ -205,7 +209,7 @@ def leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in slices(texts):
-                yield _search(ix, batch.column(0).slice(lo, hi - lo), texts[lo:hi], edits, words)
+                yield from _searched(ix, batch.column(0).slice(lo, hi - lo), texts[lo:hi], edits, words)
 
     return source.mapInArrow(apply, schema)
 
@@ -278,13 +282,27 @@ def _joined(source: DataFrame, asked: DataFrame, words: int, edits: int, schema:
     return met.mapInArrow(verified, schema)
 
 
-def _search(ix: Index, ids: pa.Array, texts: list[str], edits: int, words: int) -> pa.RecordBatch:
+def _searched(ix: Index, ids: pa.Array, texts: list[str], edits: int, words: int) -> Iterator[pa.RecordBatch]:
+    """What ``_search`` finds, by halves of the texts where they share very many q-grams with items."""
+    found = _search(ix, ids, texts, edits, words, MOST_HITS if len(texts) > 1 else None)
+    if found is not None:
+        yield found
+        return
+    half = len(texts) // 2
+    yield from _searched(ix, ids.slice(0, half), texts[:half], edits, words)
+    yield from _searched(ix, ids.slice(half), texts[half:], edits, words)
+
+
+def _search(ix: Index, ids: pa.Array, texts: list[str], edits: int, words: int, most: int | None = None) -> pa.RecordBatch | None:
     chars = 2 * words + 1
     doc_at, item_at, words_at, chars_at, edits_at, share_at = [], [], [], [], [], []
     norm = [normal(t) for t in texts]
     codes = _codes("\n".join(norm))
     starts = np.cumsum([0, *(len(t) + 1 for t in norm)])[:-1]
-    at, item, pos = ix.hits(qgram_hashes(codes, ix.q))
+    hits = ix.hits(qgram_hashes(codes, ix.q), most)
+    if hits is None:
+        return None
+    at, item, pos = hits
     if len(at):
         doc = np.searchsorted(starts, at, "right") - 1
         inside = at + ix.q <= starts[doc] + np.array([len(t) for t in norm])[doc]

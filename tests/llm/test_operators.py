@@ -342,6 +342,17 @@ def test_joined_items_give_what_broadcast_ones_do(spark):
     assert plan.collect() == []
 
 
+def test_texts_that_share_very_many_qgrams_are_searched_by_halves(monkeypatch):
+    line = "the same opening line of all the items that are asked about here today "
+    ix = leaks.Index([(i, f"{line}{prose(30)}") for i in range(40)], 13, 1)
+    texts = [f"{prose(5)} {line}{prose(5)}" for _ in range(9)]
+    ids = __import__("pyarrow").array(range(9))
+    whole = [r for b in leaks._searched(ix, ids, texts, 1, 13) for r in b.to_pylist()]
+    monkeypatch.setattr(leaks, "MOST_HITS", 3000)
+    parts = [b.to_pylist() for b in leaks._searched(ix, ids, texts, 1, 13)]
+    assert len(parts) > 1 and sorted(map(str, whole)) == sorted(str(r) for b in parts for r in b) and len(whole) == 9 * 40
+
+
 def test_leaks_allow_an_edit(spark):
     item = "the quick brown fox jumps over the lazy dog while nine small birds watch from a tree"
     doc = "before it " + item.replace("lazy", "lazi") + " after it"
