@@ -17,7 +17,7 @@ DOC_CAP = 10_000
 
 
 def plan_shards(present: DataFrame, num_shards: int, val_shard: int = VAL_SHARD) -> DataFrame:
-    """The first ``num_shards`` shards (at most all) and the validation shard, with whether each is there.
+    """The first ``num_shards`` shards (at most all) and the validation shard in order, with whether each is there.
 
     ``present`` has a ``shard_id``.  A negative number means all.
     """
@@ -26,7 +26,7 @@ def plan_shards(present: DataFrame, num_shards: int, val_shard: int = VAL_SHARD)
     want = ids.union(present.sparkSession.range(1).select(F.lit(val_shard).cast("int")))
     have = present.select("shard_id").distinct().withColumn("_there", F.lit(True))
     joined = want.join(have, "shard_id", "left")
-    return joined.select("shard_id", shard_name(F.col("shard_id")).alias("file_name"), F.coalesce("_there", F.lit(False)).alias("is_present"))
+    return joined.select("shard_id", shard_name(F.col("shard_id")).alias("file_name"), F.coalesce("_there", F.lit(False)).alias("is_present")).orderBy("shard_id")
 
 
 def train(corpus: DataFrame, val_shard: int = VAL_SHARD) -> DataFrame:
