@@ -130,7 +130,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_scores(spark, d).where("is_residue").select("doc_id")
 
 
-QUERIES = (p1_found, p1_restored, p2_found, p2_types, p3_rows, p3_totals, p4_found, p4_overlaps, p4_report, p5_found, p5_groups, p5_pairs, p6_found, p6_pieces, p6_rebuilt, p7_decoded, p7_ids, p8_found, p8_leaks, p9_found, p9_scores)
+QUERIES = (p1_found, p1_restored, p2_found, p2_types, p3_rows, p3_totals, p4_found, p4_overlaps, p4_report, p5_found, p5_groups, p5_pairs, p6_found, p6_pieces, p6_rebuilt, p7_ids, p7_decoded, p8_found, p8_leaks, p9_found, p9_scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
