@@ -36,8 +36,8 @@ TRUSTED = re.compile(
     r"|\b(?:javascript|scripts|scripting|client-side code)\b.{0,30}\b(?:on|off|enabled|disabled|required)\b|\b(?:enable|allow|active|switch on|turn on)\b.{0,30}\b(?:javascript|js|scripts|scripting)\b"
     r"|\b\w*(?:a[ck]?ti[vw]|attiv)\w*\b.{0,30}\bjavascript\b|\bjavascript\b.{0,30}\b\w*(?:a[ck]?ti[vw]|attiv)\w*\b"
     # filler, the same said four times, and what is still to be written
-    r"|^lorem ipsum|\b(\w[^\n]{1,40}?)(?:[ .]+\1){3,}|^\W*(?:todo|tbd)(?:[:.]|$)|\bto be (?:filled in|written|added)\b|\bno text yet\b"
-    r"|^(?:write|type|enter)\b.{0,60}\b(?:here|in this (?:box|field|space))\b|^title of the \w+$"
+    r"|^lorem ipsum|\b(\w[^\n]{1,40}?)(?:[ .]+\1){3,}|^\W*(?:todo|tbd)(?:[:.]|$)|\bto be (?:filled in|written|added)\b|\b(?:no text yet|coming soon|goes here)\b"
+    r"|^(?:write|type|enter)\b.{0,60}\b(?:here|in this (?:box|field|space))\b|^title of the \w+$|^this is a (?:dummy|sample|placeholder)\b"
 )
 #: The commonest way of marking a place to be filled in is trusted wherever it stands.
 SEED_SLOT = re.compile(rf"\{{\{{[ ]?{_NAME}[ ]?\}}\}}")
