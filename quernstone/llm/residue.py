@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.residue_core import DIGITS, FEATURE_BITS, SEED_SLOT, SLOT, Model, chances, counted, features, fit, passages, trusted, weighty
+from quernstone.llm.residue_core import DIGITS, FEATURE_BITS, SEED_SLOT, SLOT, Model, chances, counted, features, fit, passages, trusted
 from quernstone.plans.durable import spread, written
 
 
@@ -44,14 +44,19 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The forms' features; a place to be filled in teaches nothing where its record isn't trusted."""
+    """The forms' features, as the bytes of an array; a place to be filled in teaches nothing where its record isn't trusted."""
     for b in batches:
         known = b.column(1).to_pylist()
         own = [np.zeros(0, np.int32) if not k and SLOT.fullmatch(f) else features(f) for f, k in zip(b.column(0).to_pylist(), known)]
-        ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*own, np.zeros(0, np.int32)]), pa.int32()))
-        out = pa.record_batch({"known": b.column(1), "n": b.column(2), "f": lists})
-        yield out.filter(pa.array(np.diff(ends) > 0, pa.bool_()))
+        out = pa.record_batch({"known": b.column(1), "n": b.column(2), "f": pa.array([x.tobytes() for x in own], pa.binary())})
+        yield out.filter(pa.array([len(x) > 0 for x in own], pa.bool_()))
+
+
+def _features_of(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """All features of a batch, and how many each form has."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.int32)[ends[0] // 4 : ends[-1] // 4] if len(column) else np.zeros(0, np.int32), np.diff(ends) // 4
 
 
 def _weighted(forms: DataFrame, model=None) -> tuple[np.ndarray, float, float]:
@@ -64,8 +69,7 @@ def _weighted(forms: DataFrame, model=None) -> tuple[np.ndarray, float, float]:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, total, change = np.zeros(2 << FEATURE_BITS), 0.0, 0.0
         for b in batches:
-            lists, w = b.column(1), b.column(0).to_numpy(zero_copy_only=False).astype(float)
-            f, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+            w, (f, sizes) = b.column(0).to_numpy(zero_copy_only=False).astype(float), _features_of(b.column(1))
             if model is not None:
                 now, before = model.value
                 p = chances(f, sizes, *now)
@@ -87,7 +91,7 @@ def learn(rows: DataFrame) -> Model:
     """The model for ``rows`` (``id``, ``text``), from all of them."""
     context = rows.sparkSession.sparkContext
     raw = rows.select("id", "text").where("text is not null").mapInArrow(_forms, "form string, known boolean, n long")
-    forms = written(raw.groupBy("form", "known").agg(F.sum("n").alias("n")).mapInArrow(_featured, "known boolean, n long, f array<int>"))
+    forms = written(raw.groupBy("form", "known").agg(F.sum("n").alias("n")).mapInArrow(_featured, "known boolean, n long, f binary"))
     pos, n_pos, _ = _weighted(forms.where("known"))
     total, n_total, _ = _weighted(forms.where("not known"))
 
@@ -114,11 +118,7 @@ def residue(df: DataFrame, id_col: str, text: str) -> DataFrame:
         for b in batches:
             scores, worst = [], []
             for t in b.column(1).to_pylist():
-                best, at = None, None
-                for p in weighty(list(dict.fromkeys(passages(t)))) if t else ():
-                    s = m.of(p)
-                    if s is not None and (best is None or s > best):
-                        best, at = s, p
+                best, at = m.worst(passages(t)) if t else (None, None)
                 scores.append(best)
                 worst.append(at)
             flags = np.array([s is not None and s > 0 for s in scores], bool)

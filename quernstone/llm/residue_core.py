@@ -111,27 +111,43 @@ class Model:
 
     def __init__(self, odds: np.ndarray, prior: float):
         self.odds, self.prior = odds, prior
-        self.known: dict[str, float | None] = {}
+        self.known: dict[str, tuple[float | None, int]] = {}
         self.by_word: dict[str, tuple[float, int]] = {}
         self.by_pair: dict[tuple[str, str], float] = {}
 
-    def of(self, passage: str) -> float | None:
-        """The score of a passage, None if it has no words; numbers are all alike, so it is kept by its form.
+    def of(self, passage: str) -> tuple[float | None, int]:
+        """The score of a passage, None if it has no words, and how many it has; numbers are all alike, so it is kept by its form.
 
         It is ``score`` of its features, put together from what its words and pairs add.
         """
         form = DIGITS.sub("0", passage)
-        if form not in self.known:
+        own = self.known.get(form)
+        if own is None:
             for kept in (self.known, self.by_word, self.by_pair):
                 if len(kept) >= 300_000:
                     kept.clear()
-            self.known[form] = self._of(form)
-        return self.known[form]
+            own = self.known[form] = self._of(form)
+        return own
 
-    def _of(self, form: str) -> float | None:
+    def worst(self, passages: list[str]) -> tuple[float | None, str | None]:
+        """The highest score of the passages that may decide on a record, and the passage.
+
+        One of one or two words decides only if it is a place to be filled in or trusted, or where there are no longer ones.
+        """
+        best: list[tuple[float | None, str | None]] = [(None, None), (None, None)]
+        weighty = False
+        for p in dict.fromkeys(passages):
+            score, n = self.of(p)
+            long = n > 2 or bool(SLOT.fullmatch(p)) or trusted(p)
+            weighty |= long
+            if score is not None and (best[long][0] is None or score > best[long][0]):
+                best[long] = score, p
+        return best[weighty]
+
+    def _of(self, form: str) -> tuple[float | None, int]:
         words = _words(form)
         if not words:
-            return None
+            return None, 0
         marks = _marks(words)
         total, n = sum(float(self.odds[m]) for m in marks), len(marks) + len(words) + 1
         for w in words:
@@ -146,7 +162,7 @@ class Model:
             if odds is None:
                 odds = self.by_pair[pair] = float(self.odds[_hashed(f"b{pair[0]} {pair[1]}")])
             total += odds
-        return total * min(1.0, 14 / n) ** 0.5 + self.prior
+        return total * min(1.0, 14 / n) ** 0.5 + self.prior, len(words)
 
     def score(self, f: np.ndarray) -> float:
         return float(self.odds[f].sum()) * min(1.0, 14 / max(1, len(f))) ** 0.5 + self.prior if len(f) else -9.0
@@ -201,12 +217,6 @@ def fit(pos: np.ndarray, n_pos: float, total: np.ndarray, n_total: float, guess,
     return Model(odds.astype(np.float32), prior)
 
 
-def weighty(passages: list[str]) -> list[str]:
-    """Those that may decide on a record: of one or two words only what is trusted, or where there are no longer ones."""
-    long = [p for p in passages if SLOT.fullmatch(p) or len(WORD.findall(p)) > 2 or trusted(p)]
-    return long or passages
-
-
 def trusted(text: str) -> bool:
     """Whether the whole record is residue beyond doubt."""
     own = own_text(text).strip()

@@ -446,8 +446,8 @@ def test_score_by_words_is_the_score_of_the_features():
     rng = np.random.default_rng(1)
     m = residue_core.Model(rng.normal(size=2 << residue_core.FEATURE_BITS).astype(np.float32), -1.5)
     for p in ("Error 404: Not Found", "test test test test test", "{{ name }}", "Größe 12 of the page", "a"):
-        assert m.of(p) == pytest.approx(m.score(residue_core.features(p)), abs=1e-3)
-    assert m.of("---") is None
+        assert m.of(p)[0] == pytest.approx(m.score(residue_core.features(p)), abs=1e-3)
+    assert m.of("---") == (None, 0)
 
 
 # the queries
