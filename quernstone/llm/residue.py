@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernstone.llm.residue_core import DIGITS, FEATURE_BITS, SEED_SLOT, SLOT, Model, chances, counted, features, fit, passages, trusted
+from quernstone.llm.leaks import slices
+from quernstone.llm.residue_core import DIGITS, FEATURE_BITS, SEED_SLOT, SLOT, Model, chances, counted, featured, fit, passages, trusted
 from quernstone.plans.durable import spread, written
 
 
@@ -46,10 +47,12 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The forms' features, as the bytes of an array; a place to be filled in teaches nothing where its record isn't trusted."""
     for b in batches:
-        known = b.column(1).to_pylist()
-        own = [np.zeros(0, np.int32) if not k and SLOT.fullmatch(f) else features(f) for f, k in zip(b.column(0).to_pylist(), known)]
-        out = pa.record_batch({"known": b.column(1), "n": b.column(2), "f": pa.array([x.tobytes() for x in own], pa.binary())})
-        yield out.filter(pa.array([len(x) > 0 for x in own], pa.bool_()))
+        forms = ["" if not k and SLOT.fullmatch(f) else f for f, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        f, of, _ = featured(forms)
+        sizes = np.bincount(of, minlength=len(forms))
+        ends = np.concatenate([[0], np.cumsum(sizes) * 4]).astype(np.int32)
+        own = pa.BinaryArray.from_buffers(pa.binary(), len(forms), [None, pa.py_buffer(ends), pa.py_buffer(f)])
+        yield pa.record_batch({"known": b.column(1), "n": b.column(2), "f": own}).filter(pa.array(sizes > 0))
 
 
 def _features_of(column: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,11 +119,11 @@ def residue(df: DataFrame, id_col: str, text: str) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            scores, worst = [], []
-            for t in b.column(1).to_pylist():
-                best, at = m.worst(passages(t)) if t else (None, None)
-                scores.append(best)
-                worst.append(at)
+            texts, scores, worst = b.column(1).to_pylist(), [], []
+            for lo, hi in slices([t or "" for t in texts], 2_000, 2_000_000):
+                for score, passage in m.worst([passages(t) if t else [] for t in texts[lo:hi]]):
+                    scores.append(score)
+                    worst.append(passage)
             flags = np.array([s is not None and s > 0 for s in scores], bool)
             yield pa.record_batch({"id": b.column(0), "score": pa.array(scores, pa.float64()), "passage": pa.array(worst, pa.string()), "is_residue": pa.array(flags)})
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from zlib import crc32
 
 import numpy as np
@@ -30,10 +31,10 @@ TRUSTED_CHARS = 320
 TRUSTED = re.compile(
     # error pages
     r"(?im)^(?:(?:http/\d(?:\.\d)?|error|status)[ :]*)?[45]\d\d\b.{0,3}(?:not found|forbidden|internal server|bad gateway|service unavailable|too many)"
-    r"|\b(?:page|seite|note|report|site|link)\b.{0,30}\b(?:not found|nicht gefunden|isn['’]t available|cannot be shown|failed to load)\b"
+    r"|\b(?:page|seite|note|report|site|link)\b.{0,30}\b(?:not found|nicht gefunden|introuvable|isn['’]t available|cannot be shown|failed to load)\b"
     r"|\b(?:connection failed|could not reach|access denied|down for maintenance|rate limit exceeded)\b"
     # notices that scripts are required
-    r"|\b(?:javascript|scripts|scripting|client-side code)\b.{0,30}\b(?:on|off|enabled|disabled|required)\b|\b(?:enable|allow|active|switch on|turn on)\b.{0,30}\b(?:javascript|js|scripts|scripting)\b"
+    r"|\b(?:javascript|js|scripts|scripting|client-side code)\b.{0,30}\b(?:on|off|enabled|allowed|disabled|required)\b|\b(?:enable|allow|active|switch on|turn on)\b.{0,30}\b(?:javascript|js|scripts|scripting)\b"
     r"|\b\w*(?:a[ck]?ti[vw]|attiv)\w*\b.{0,30}\bjavascript\b|\bjavascript\b.{0,30}\b\w*(?:a[ck]?ti[vw]|attiv)\w*\b"
     # filler, the same said four times, and what is still to be written
     r"|^lorem ipsum|\b(\w[^\n]{1,40}?)(?:[ .]+\1){3,}|^\W*(?:todo|tbd)(?:[:.]|$)|\bto be (?:filled in|written|added)\b|\b(?:no text yet|coming soon|goes here)\b"
@@ -74,98 +75,111 @@ def _words(passage: str) -> list[str]:
     return ["0" if w.isdigit() else w for w in WORD.findall(p.lower())]
 
 
-class _WordFeatures(dict):
-    """The features of words, a word and its letter triples, of which a bounded number is kept."""
+class _Lexicon(dict):
+    """Numbers of words, and for each its hash and its features, a word and its letter triples; a bounded number is kept."""
 
-    def __missing__(self, w: str) -> list[int]:
-        if len(self) > 300_000:
-            self.clear()
-        out = [_hashed("w" + w)]
-        if len(w) > 4 and w != "qslotq" and not w.isdigit():
-            x = f"<{w}>"
-            out += [_hashed("t" + x[k : k + 3], True) for k in range(0, len(x) - 2, 2)]
-        self[w] = out
-        return out
-
-
-_OF_WORD = _WordFeatures()
+    def __init__(self):
+        super().__init__()
+        self.reset()
 
+    def reset(self) -> None:
+        self.clear()
+        self.hashes, self.starts, self.sizes, self.flat = array("I"), array("i"), array("i"), array("i")
+        for mark in ("^", "$"):  # of the beginning and end of a passage, which have no features
+            self._add(mark, [])
 
-def _marks(words: list[str]) -> list[int]:
-    same = len(words) >= 4 and len(set(words)) * 3 <= len(words)
-    return [_hashed("m same")] * 3 * same + [_hashed("m slot")] * 4 * ("qslotq" in words)
+    def _add(self, word: str, own: list[int]) -> int:
+        n = self[word] = len(self.hashes)
+        self.hashes.append(crc32(word.encode("utf-8", "replace")))
+        self.starts.append(len(self.flat))
+        self.sizes.append(len(own))
+        self.flat.extend(own)
+        return n
 
-
-def features(passage: str) -> np.ndarray:
-    """Hashed words, neighbouring words, letter triples of words and marks of form."""
-    words = _words(passage)
-    if not words:
-        return np.zeros(0, np.int32)
-    out = [f for w in words for f in _OF_WORD[w]]
-    out += [_hashed(f"b{a} {b}") for a, b in zip(["^", *words], [*words, "$"])]
-    return np.array(out + _marks(words), np.int32)
+    def __missing__(self, w: str) -> int:
+        own = [_hashed("w" + w)]
+        if len(w) > 4 and w != "qslotq" and not w.isdigit():
+            x = f"<{w}>"
+            own += [_hashed("t" + x[k : k + 3], True) for k in range(0, len(x) - 2, 2)]
+        return self._add(w, own)
+
+
+_LEXICON = _Lexicon()
+_SAME, _SLOT = _hashed("m same"), _hashed("m slot")
+
+
+def featured(passages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of all passages: hashed words, neighbouring words, letter triples of words and marks of form.
+
+    With them the number of the passage that each is of, in order, and how many words each passage has.
+    """
+    if len(_LEXICON) > 300_000:
+        _LEXICON.reset()
+    number, seq, n_words, marks, marked = _LEXICON.__getitem__, [], np.zeros(len(passages), np.int64), [], []
+    for k, p in enumerate(passages):
+        words = _words(p)
+        n = n_words[k] = len(words)
+        if n:
+            seq.append(0)
+            seq += map(number, words)
+            seq.append(1)
+            if n >= 4 and len(set(words)) * 3 <= n:
+                marks += [_SAME] * 3
+                marked += [k] * 3
+            if "qslotq" in words:
+                marks += [_SLOT] * 4
+                marked += [k] * 4
+    if not seq:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64), n_words
+    word = np.array(seq, np.int64)
+    owner = np.repeat(np.arange(len(passages)), np.where(n_words > 0, n_words + 2, 0))
+    hashes = np.frombuffer(_LEXICON.hashes, np.uint32)[word].astype(np.uint64)
+    with np.errstate(over="ignore"):
+        pair = (hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:]) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - FEATURE_BITS)
+    joined = word[:-1] != 1
+    inner = word > 1
+    sizes, starts = (np.frombuffer(x, np.int32)[word[inner]].astype(np.int64) for x in (_LEXICON.sizes, _LEXICON.starts))
+    own = np.frombuffer(_LEXICON.flat, np.int32)[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+    f = np.concatenate([own, pair[joined].astype(np.int32), np.array(marks, np.int32)])
+    of = np.concatenate([np.repeat(owner[inner], sizes), owner[:-1][joined], np.array(marked, np.int64)])
+    order = np.argsort(of, kind="stable")
+    return f[order], of[order], n_words
 
 
 class Model:
-    """Log odds of features; ``score`` is the log odds of residue for a passage."""
+    """Log odds of features, and of the classes."""
 
     def __init__(self, odds: np.ndarray, prior: float):
         self.odds, self.prior = odds, prior
-        self.known: dict[str, tuple[float | None, int]] = {}
-        self.by_word: dict[str, tuple[float, int]] = {}
-        self.by_pair: dict[tuple[str, str], float] = {}
 
-    def of(self, passage: str) -> tuple[float | None, int]:
-        """The score of a passage, None if it has no words, and how many it has; numbers are all alike, so it is kept by its form.
+    def scores(self, passages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The log odds of residue of each passage, and how many words it has; of no words the score means nothing."""
+        f, of, n_words = featured(passages)
+        n = np.bincount(of, minlength=len(passages))
+        sums = np.bincount(of, self.odds[f], len(passages))
+        return sums * np.minimum(1.0, 14 / np.maximum(1, n)) ** 0.5 + self.prior, n_words
 
-        It is ``score`` of its features, put together from what its words and pairs add.
-        """
-        form = DIGITS.sub("0", passage)
-        own = self.known.get(form)
-        if own is None:
-            for kept in (self.known, self.by_word, self.by_pair):
-                if len(kept) >= 300_000:
-                    kept.clear()
-            own = self.known[form] = self._of(form)
-        return own
-
-    def worst(self, passages: list[str]) -> tuple[float | None, str | None]:
-        """The highest score of the passages that may decide on a record, and the passage.
+    def worst(self, records: list[list[str]]) -> list[tuple[float | None, str | None]]:
+        """Of each record's passages the one with the highest score among those that may decide, and the score.
 
         One of one or two words decides only if it is a place to be filled in or trusted, or where there are no longer ones.
+        Numbers are all alike.
         """
-        best: list[tuple[float | None, str | None]] = [(None, None), (None, None)]
-        weighty = False
-        for p in dict.fromkeys(passages):
-            score, n = self.of(p)
-            long = n > 2 or bool(SLOT.fullmatch(p)) or trusted(p)
-            weighty |= long
-            if score is not None and (best[long][0] is None or score > best[long][0]):
-                best[long] = score, p
-        return best[weighty]
-
-    def _of(self, form: str) -> tuple[float | None, int]:
-        words = _words(form)
-        if not words:
-            return None, 0
-        marks = _marks(words)
-        total, n = sum(float(self.odds[m]) for m in marks), len(marks) + len(words) + 1
-        for w in words:
-            own = self.by_word.get(w)
-            if own is None:
-                f = _OF_WORD[w]
-                own = self.by_word[w] = (float(self.odds[f].sum()), len(f))
-            total += own[0]
-            n += own[1]
-        for pair in zip(["^", *words], [*words, "$"]):
-            odds = self.by_pair.get(pair)
-            if odds is None:
-                odds = self.by_pair[pair] = float(self.odds[_hashed(f"b{pair[0]} {pair[1]}")])
-            total += odds
-        return total * min(1.0, 14 / n) ** 0.5 + self.prior, len(words)
-
-    def score(self, f: np.ndarray) -> float:
-        return float(self.odds[f].sum()) * min(1.0, 14 / max(1, len(f))) ** 0.5 + self.prior if len(f) else -9.0
+        forms: dict[str, int] = {}
+        numbered = [[(p, forms.setdefault(DIGITS.sub("0", p), len(forms))) for p in dict.fromkeys(ps)] for ps in records]
+        scores, n_words = (x.tolist() for x in self.scores(list(forms)))
+        out = []
+        for ps in numbered:
+            best: list[tuple[float | None, str | None]] = [(None, None), (None, None)]
+            weighty = False
+            for p, k in ps:
+                n = n_words[k]
+                long = n > 2 or bool(SLOT.fullmatch(p)) or trusted(p)
+                weighty |= long
+                if n and (best[long][0] is None or scores[k] > best[long][0]):
+                    best[long] = scores[k], p
+            out.append(best[weighty])
+        return out
 
 
 def chances(f: np.ndarray, sizes: np.ndarray, odds: np.ndarray, prior: float, margin: float) -> np.ndarray:

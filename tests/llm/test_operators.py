@@ -442,12 +442,18 @@ def test_places_to_fill_in():
         assert not residue_core.SLOT.search(t), t
 
 
-def test_score_by_words_is_the_score_of_the_features():
+def test_features_of_many_passages_are_those_of_each():
     rng = np.random.default_rng(1)
     m = residue_core.Model(rng.normal(size=2 << residue_core.FEATURE_BITS).astype(np.float32), -1.5)
-    for p in ("Error 404: Not Found", "test test test test test", "{{ name }}", "Größe 12 of the page", "a"):
-        assert m.of(p)[0] == pytest.approx(m.score(residue_core.features(p)), abs=1e-3)
-    assert m.of("---") == (None, 0)
+    passages = ["Error 0: Not Found", "---", "test test test test test", "{{ name }}", "", "Größe 0 of the page", "a", "test test test test test"]
+    f, of, n_words = residue_core.featured(passages)
+    assert n_words.tolist() == [4, 0, 5, 1, 0, 5, 1, 5] and sorted(set(of.tolist())) == [0, 2, 3, 5, 6, 7]
+    for k, p in enumerate(passages):
+        one = residue_core.featured([p])[0]
+        assert sorted(one.tolist()) == sorted(f[of == k].tolist())
+        if len(one):
+            assert m.scores(passages)[0][k] == pytest.approx(m.odds[one].sum() * min(1, 14 / len(one)) ** 0.5 - 1.5, abs=1e-4)
+    assert m.worst([["Error 404: Not Found", "---"], [], ["---"]])[1:] == [(None, None), (None, None)]
 
 
 # the queries
