@@ -56,7 +56,7 @@ def passages(text: str) -> list[str]:
     """Lines, longer ones by sentence, and apart from them each place to be filled in."""
     own = own_text(text)
     out = []
-    if HINT.search(own):
+    if _hinted(own):
         out = [m[0] for m in SLOT.finditer(own)]
         own = SLOT.sub(" ", own)
     for line in LINES.split(own):
@@ -70,9 +70,13 @@ def _hashed(feature: str, triple: bool = False) -> int:
     return (crc32(feature.encode("utf-8", "replace")) >> (32 - FEATURE_BITS)) + (triple << FEATURE_BITS)
 
 
-def _words(passage: str) -> list[str]:
-    p = SLOT.sub(" qslotq ", passage) if HINT.search(passage) else passage
-    return ["0" if w.isdigit() else w for w in WORD.findall(p.lower())]
+def _hinted(p: str) -> bool:
+    """Whether there may be a place to be filled in; most passages have none of these characters."""
+    return ("{" in p or "%" in p or "<" in p or "[" in p or "$" in p or "@" in p or "__" in p or "«" in p or "(" in p) and bool(HINT.search(p))
+
+
+def _words(form: str) -> list[str]:
+    return WORD.findall((SLOT.sub(" qslotq ", form) if _hinted(form) else form).lower())
 
 
 class _Lexicon(dict):
@@ -109,7 +113,7 @@ _SAME, _SLOT = _hashed("m same"), _hashed("m slot")
 
 
 def featured(passages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all passages: hashed words, neighbouring words, letter triples of words and marks of form.
+    """Features of all passages, their numbers written as 0: hashed words, neighbouring words, letter triples of words and marks of form.
 
     With them the number of the passage that each is of, in order, and how many words each passage has.
     """
