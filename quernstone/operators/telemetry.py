@@ -187,16 +187,16 @@ def parse_summary(lines: DataFrame, line: str = "value") -> DataFrame:
 
 def parse_progress(lines: DataFrame, line: str = "value") -> DataFrame:
     """Progress lines of a log as columns, behind those that come with them; other lines are left out."""
+    number = r"(-?[\d.,]+|-?Infinity|NaN|null)"
     pattern = (
-        r"step (\d+) \(([\d.]+)%\) \| loss: (\S+) \| lrm: ([\d.]+) \| dt: (\d+)ms \| tok/sec: ([\d,]+)"
-        r"(?: \| mfu: ([\d.]+)%)?(?: \| epoch: (\d+))?(?: \| remaining: (\d+)s)?"
+        rf"step (-?\d+|null) \({number}%\) \| loss: (\S+) \| lrm: {number} \| dt: {number}ms \| tok/sec: {number}"
+        rf"(?: \| mfu: {number}%)?(?: \| epoch: {number})?(?: \| remaining: {number}s)?"
     )
     part = lambda k: F.regexp_extract(line, pattern, k)
     return lines.where(F.col(line).rlike(pattern)).select(
-        *(c for c in lines.columns if c != line), part(1).cast("int").alias("step"), part(2).cast("double").alias("pct_done"), part(3).try_cast("double").alias("loss"), part(4).cast("double").alias("lrm"),
-        (part(5).cast("double") / 1000).alias("dt"), F.replace(part(6), F.lit(","), F.lit("")).cast("long").alias("tok_per_sec"),
-        F.nullif(part(7), F.lit("")).cast("double").alias("mfu"), F.nullif(part(8), F.lit("")).cast("int").alias("epoch"),
-        F.nullif(part(9), F.lit("")).cast("int").alias("remaining"),
+        *(c for c in lines.columns if c != line), part(1).try_cast("int").alias("step"), part(2).try_cast("double").alias("pct_done"), part(3).try_cast("double").alias("loss"), part(4).try_cast("double").alias("lrm"),
+        (part(5).try_cast("double") / 1000).alias("dt"), F.replace(part(6), F.lit(","), F.lit("")).try_cast("long").alias("tok_per_sec"),
+        part(7).try_cast("double").alias("mfu"), part(8).try_cast("int").alias("epoch"), part(9).try_cast("int").alias("remaining"),
     )
 
 
@@ -204,9 +204,14 @@ def progress_lines(steps: DataFrame) -> DataFrame:
     """The line that a run logs for each step; a step without a time or utilization has none."""
     known = steps.where("dt is not null and mfu is not null")
     done = 100 * (1 - F.col("remaining") / BUDGET_SECONDS)
+    # rounded as numbers, not as their decimal digits, of which the formatter would round 1.005 up
+    rounded = lambda c, n: F.round(F.col(c) * 10.0**n) / 10.0**n
+    # a precision would cut the word null, too
+    shown = lambda f, c: F.when(c.isNull(), F.lit("null")).otherwise(F.format_string(f, c))
     line = F.format_string(
-        "step %05d (%.1f%%) | loss: %.6f | lrm: %.2f | dt: %.0fms | tok/sec: %,d | mfu: %.1f%% | epoch: %d | remaining: %.0fs    ",
-        "step", done, "loss", "lrm", F.col("dt") * 1000, "tok_per_sec", "mfu", "epoch", "remaining",
+        "step %s (%s%%) | loss: %s | lrm: %s | dt: %.0fms | tok/sec: %s | mfu: %.1f%% | epoch: %s | remaining: %ss    ",
+        shown("%05d", F.col("step")), shown("%.1f", done), shown("%.6f", rounded("loss", 6)), shown("%.2f", rounded("lrm", 2)), F.col("dt") * 1000, shown("%,d", F.col("tok_per_sec")),
+        rounded("mfu", 1), shown("%d", F.col("epoch")), shown("%.0f", F.col("remaining")),
     )
     return known.select(*RUN, line.alias("value"))
 

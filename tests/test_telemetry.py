@@ -1,11 +1,13 @@
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quernstone.functions import vectors as vec
 from quernstone.operators import modelmath as mm
 from quernstone.operators import telemetry as tel
+from quernstone.plans import telemetry_queries
 from quernstone.sources import files
 from quernstone.streaming import ingest
 
@@ -55,6 +57,22 @@ def test_progress_lines_are_read_again(spark):
     assert set(got) == {0, 1} and math.isnan(got[0].loss) and got[1].loss is None and got[1].dt == 32.934 and got[0].run_tag == "r" and got[1].epoch == 2
 
 
+def test_progress_lines_of_odd_steps_agree_with_sql(spark):
+    """Nulls, numbers below zero, more time left than there is, and ties of which the nearest double lies below."""
+    kinds = "run_tag string, exp_no long, step long, loss double, lrm double, dt double, tok_per_sec long, mfu double, epoch int, remaining double, loaded_at int"
+    rows = [
+        ("r", 0, 0, 1.0000005, 1.005, 0.3, 1_000, 8.25, 1, 310.0, 0), ("r", 0, 1, 2.0, None, 0.3, None, 0.35, None, -4.6, 0), ("r", 0, 2, -0.5, -0.145, -0.0015, -1_234, -1.05, 1, None, 0),
+        ("r", 0, 3, float("nan"), 0.285, 0.3, 1_000, 1.15, 1, 0.5, 0), ("r", 0, 4, float("inf"), 1.255, 0.3, 1_000, float("inf"), 1, 2.5, 0), ("r", 0, 5, None, 1.0, 0.3, 1, 1.0, 2, 1.0, 0),
+    ]
+    df = spark.createDataFrame(rows, kinds)
+    got = {r.step: tuple(map(str, r)) for r in tel.parse_progress(tel.progress_lines(tel.normalize(df))).drop("pct_done").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE telemetry (run_tag VARCHAR, exp_no BIGINT, step BIGINT, loss DOUBLE, lrm DOUBLE, dt DOUBLE, tok_per_sec BIGINT, mfu DOUBLE, epoch INTEGER, remaining DOUBLE, loaded_at INTEGER)")
+    con.executemany("INSERT INTO telemetry VALUES (?, ?, ?, ?, ?, ?, ?, ?, ?, ?, ?)", rows)
+    want = {r[2]: tuple(map(str, r)) for r in con.execute(telemetry_queries.oracle_sql()["log_progress_parse"]).fetchall()}
+    assert got == want
+
+
 def test_smoothed_loss_over_blocks_of_a_long_run(spark, monkeypatch):
     monkeypatch.setattr(tel, "EMA_BLOCK", 400)
     xs = [1.0 + (7 * i % 13) / 5 for i in range(1700)]
