@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quernstone.llm import bpe, encoding, encoding_core, leaks, neardup, overlap, packing, pieces, quality, queries, residue, residue_core, shingles
+from quernstone.plans import durable
 
 SMALL = "/root/testdata/sf0.001"
 RNG = random.Random(7)
@@ -263,6 +264,19 @@ def test_copies_are_listed_in_parts(spark, monkeypatch):
     assert sorted(got) == sorted([*combinations(range(50), 2), (100, 101)])
 
 
+def test_near_duplicates_of_many_copies_leave_no_list_of_pairs_on_disk(spark, tmp_path, monkeypatch):
+    """Garbled records go before pairs are listed, and what led to the links is removed: no step has more rows than there are records."""
+    words = [f"w{i}" for i in range(80)]
+    texts = [" ".join(words)] * 60 + [" ".join([*words[:79], "other"])] * 40
+    d, steps = str(tmp_path / "in"), tmp_path / "steps"
+    spark.createDataFrame([(i, "train", "s", x) for i, x in enumerate(texts)], "row_id long, split string, source string, text string").write.parquet(f"{d}/shard.parquet")
+    monkeypatch.setattr(durable, "shared_dir", lambda s: f"file://{steps}")
+    got = queries.p5_found(spark, d)
+    left = [spark.read.parquet(str(p)).count() for p in steps.glob("step-*") if list(p.glob("*.parquet"))]
+    assert got.count() == 100 * 99 // 2 and left and max(left) <= 100
+    assert not any("shingles" in spark.read.parquet(str(p)).columns for p in steps.glob("step-*") if list(p.glob("*.parquet")))
+
+
 def test_shares_are_exact():
     assert [shingles.at_least(0.6, n) for n in (5, 10, 11, 0)] == [3, 6, 7, 0]
 
