@@ -3,6 +3,7 @@ import re
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 import tiktoken
@@ -264,6 +265,28 @@ def test_copies_are_listed_in_parts(spark, monkeypatch):
     assert sorted(got) == sorted([*combinations(range(50), 2), (100, 101)])
 
 
+def test_overlaps_of_words_that_lower_case_changes_agree_with_sql(spark):
+    """A dotted capital I breaks no word, and a capital sigma is the same letter wherever it stands."""
+    w = [f"w{i}" for i in range(70)]
+    rows = []
+    for k, (x, y) in enumerate([("İstanbul", "istanbul"), ("ΟΔΟΣ", "οδοσ"), ("İİ", "ii")]):
+        marked = [y if i % 3 == 0 else f"{z}x{k}" for i, z in enumerate(w)]
+        rows += [(2 * k, "val", " ".join(x if z == y else z for z in marked)), (2 * k + 1, "train", " ".join(marked))]
+    got = {tuple(r) for r in overlap.overlaps(spark.createDataFrame(rows, "row_id long, split string, text string"), "row_id", "split", "text").collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE shard (row_id BIGINT, split VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO shard VALUES (?, ?, ?)", rows)
+    assert got == set(con.execute(queries.oracle_sql()["p4_overlaps"]).fetchall()) and len(got) == 3
+
+
+def test_overlaps_where_an_id_has_several_texts(spark):
+    """The least id of a class stands for it with the text of the class, not with another of its texts."""
+    t, u = prose(80), prose(80)
+    rows = [(1, "train", t), (1, "train", u), (2, "val", t + " more"), (3, "val", u + " more")]
+    df = spark.createDataFrame(rows, "row_id long, split string, text string")
+    assert {(r.held_id, r.train_id) for r in overlap.overlaps(df, "row_id", "split", "text").collect()} == {(2, 1), (3, 1)}
+
+
 def test_near_duplicates_of_many_copies_leave_no_list_of_pairs_on_disk(spark, tmp_path, monkeypatch):
     """Garbled records go before pairs are listed, and what led to the links is removed: no step has more rows than there are records."""
     words = [f"w{i}" for i in range(80)]
