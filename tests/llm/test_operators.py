@@ -92,6 +92,14 @@ def test_garbled_records_come_out_restored(spark):
     assert {r.row_id for r in encoding.garbled_ids(df, "row_id", "text").collect()} == {100, 101, 104}
 
 
+def test_twins_teach_however_many_units_are_more_frequent(spark):
+    rows = [(100 * k + i, f"the recept{chr(0x100 + k)} stands here {i}") for k in range(60) for i in range(3)]
+    rows += [(9000, "a receptÃ© there"), (9001, "a recepté there")]
+    judge, _ = encoding.learn(spark.createDataFrame(rows, "row_id long, text string"), "text")
+    k = encoding_core.PAIRS.index(("latin_1", "utf_8"))
+    assert judge.learned[k]["Ã©", "é"] == 1
+
+
 def test_lost_bytes_are_filled_from_twins(spark):
     clean = "La région près de la forêt reçoit więc ktoś ‘jamais’."
     rows = [(i, f"{clean} {i}") for i in range(30)] + [(100, "La r\ufffdgion pr\ufffds (de la for\ufffdt), po\ufffd"), (101, "Lui r\xc3\xa9gion for\xc3\xaat wi\xc4c kto\xc5!"), (None, "La for\ufffd\ufffdt"), (None, "La for\ufffd\ufffdt")]
